@@ -6,12 +6,29 @@ machine) a folder of this session's own is made.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable in Python workers, unless the workers' search path has it already."""
+    root, app = Path(__file__).parents[2], spark.sparkContext.applicationId
+    if app not in _shipped and str(root) not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        path = Path(tempfile.mkdtemp(prefix="strata-code-")) / "strata_code.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for p in sorted((root / "strata").rglob("*.py")):
+                z.write(p, p.relative_to(root))
+        spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
