@@ -76,26 +76,22 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return per.select("source_key", "source_size", "place", target.alias("target"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, position for every row of ``docs``, sorted by position.
-
-    Inside a source, documents stand in the order of md5(doc_id); the mix reads that order again and again until the
-    target (to the nearest word) is met, so copies differ by one at most and one document may be taken in part.
-    position (0 to 1): training progress at which the first copy starts; null if nothing is taken. A null or empty
-    text has size 0; a null source is a source of its own, last in the order of weights; a null doc_id stands in the
-    order as the text "null". Repeated rows count each. An empty table gives no rows. Other columns are ignored.
-    """
+def _sized(docs: DataFrame, carried: list[Column]) -> DataFrame:
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
+        *carried,
     )
     base = base.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    base = materialise(base, "sizes")
     base = base.withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    base = base.withColumn("_bucket", F.substring("_order", 1, 3))
-    ranked = running_total(base, "source_key", "_bucket", ["_order", "doc_id", "size"], F.col("size"), "before")
-    out = ranked.join(source_targets(base), "source_key")
+    return base.withColumn("_bucket", F.substring("_order", 1, 3))
+
+
+def _taken(rows: DataFrame, sizes: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with source_size, target, taken and position; ``sizes``: the same rows, as narrow as possible."""
+    ranked = running_total(rows, "source_key", "_bucket", order, F.col("size"), "before", sizes)
+    out = ranked.join(source_targets(sizes), "source_key")
     words = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     out = out.withColumn("_words", words).withColumn("_safe", F.greatest(F.col("source_size"), F.lit(1)))
     out = out.withColumn("_full", F.expr("_words div _safe")).withColumn("_rest", F.expr("_words % _safe"))
@@ -105,11 +101,37 @@ def mix(docs: DataFrame) -> DataFrame:
     position = SCHEDULES[0].invert(share)
     for i, s in enumerate(SCHEDULES[1:], 1):
         position = F.when(F.col("place") == i, s.invert(share)).otherwise(position)
-    out = out.withColumn("position", F.when(F.col("taken") > 0, position))
+    return out.withColumn("position", F.when(F.col("taken") > 0, position))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, position for every row of ``docs``, sorted by position.
+
+    Inside a source, documents stand in the order of md5(doc_id); the mix reads that order again and again until the
+    target (to the nearest word) is met, so copies differ by one at most and one document may be taken in part.
+    position (0 to 1): training progress at which the first copy starts; null if nothing is taken. A null or empty
+    text has size 0; a null source is a source of its own, last in the order of weights; a null doc_id stands in the
+    order as the text "null". Repeated rows count each. An empty table gives no rows. Other columns are ignored.
+    """
+    base = materialise(_sized(docs, []), "sizes")
+    out = _taken(base, base, ["_order", "doc_id", "size"])
     out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "position")
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def apply_mix(docs: DataFrame) -> DataFrame:
+    """The mixed corpus: the rows of ``docs``, each as often as :func:`mix` takes it, sorted by position of first copies.
+
+    A document of which a part is taken comes whole once more, so sources exceed their targets by one document at most.
+    Documents that the mix does not reach go, those without words too. The columns are those of ``docs``.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    wide = _taken(_sized(docs, [row]), _sized(docs, []), ["_order", "doc_id", "size"]).where("taken > 0")
+    copies = F.ceil(F.col("taken").cast("double") / F.col("size").cast("double")).cast("int")
+    wide = wide.select("_row", "position", "doc_id", F.explode(F.sequence(F.lit(1), copies)).alias("_copy"))
+    return wide.orderBy("position", "doc_id").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
 ORACLE_SQL = r"""
 with d as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,

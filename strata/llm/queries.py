@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontam, exact, mixing, sharding, simhash, tokens, toxicity, urls
+from strata.llm import decontam, exact, lines, mixing, repeats, sharding, simhash, tokens, toxicity, urls
 from strata.llm.storage import ship
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,6 +44,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_benchmark(docs, _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_classes(_table(spark, sf_dir, "documents"))
+
+
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.drop_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -54,10 +62,23 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_ids, op2_simhash, op3_shards, op4_toxicity, op5_exact, op6_decontaminate, op9_mix, op10_urls)
+    f.__name__: f
+    for f in (
+        op1_token_ids,
+        op2_simhash,
+        op3_shards,
+        op4_toxicity,
+        op5_exact,
+        op6_decontaminate,
+        op7_lines,
+        op8_suffixes,
+        op9_mix,
+        op10_urls,
+    )
 }
 
-#: The other operators can't be said in SQL (tokenizer, XXH64, CRC-32, trained models); tests hold them against brute force.
+#: The other operators can't be said in SQL, or not on whole tables (tokenizer, XXH64, CRC-32, trained models, edit
+#: distance of all lines, every string of 400 bytes); tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op5_exact": exact.ORACLE_SQL,
     "op6_decontaminate": decontam.ORACLE_SQL,

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(df: DataFrame, group: str, bucket: str, order: list[str], value, out: str) -> DataFrame:
+def running_total(df: DataFrame, group: str, bucket: str, order: list[str], value, out: str, narrow: DataFrame | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same group that come before, a long.
 
-    ``group`` and ``bucket`` hold no nulls; rows are ordered by bucket and then ``order``.
+    ``group`` and ``bucket`` hold no nulls; rows are ordered by bucket and then ``order``. ``narrow``: the same rows,
+    with these columns alone, for the totals.
     """
     keys = [group, bucket]
-    totals = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
+    totals = (df if narrow is None else narrow).groupBy(*keys).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

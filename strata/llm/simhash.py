@@ -14,12 +14,14 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import textops
 from strata.llm.components import components
+from strata.llm.sketch import Bloom
 from strata.llm.storage import materialise
 
 BUDGET = 3
@@ -284,3 +286,28 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = BUDGET,
     named = rooted.join(heads, "root").select("fp", "component_id")
     out = base.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, budget: int = BUDGET) -> DataFrame:
+    """The rows of ``docs`` that stay when of each component only the smallest doc_id does, with the columns of ``docs``.
+
+    Of rows that repeat that doc_id one stays (of different texts, any of them). Rows without doc_id all stay: nothing
+    names them. Null and empty texts are a group like any other. An empty table gives no rows. Rows that a filter of bounded size knows as no one's copy stay without a shuffle.
+    """
+    found = simhash_components(docs, shingle, budget).where("doc_id is not null")
+    found = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
+    goes = materialise(found.where("n > 1 or doc_id <> c").select("doc_id", "c", F.xxhash64("doc_id").alias("h")), "copies")
+    passes = docs.sparkSession.sparkContext.broadcast(Bloom.of(goes, "h"))
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(passes.value.has(h.to_numpy(np.int64)))
+
+    key = F.col("doc_id").cast("long")
+    named = docs.where("doc_id is not null")
+    clear = named.where(~maybe(F.xxhash64(key)))
+    other = named.where(maybe(F.xxhash64(key))).withColumn("_key", key)
+    goes = goes.select(F.col("doc_id").alias("_key"), F.col("c").alias("_c"))
+    copies = other.join(goes.where("_key <> _c"), "_key", "left_anti").dropDuplicates(["_key"]).drop("_key")
+    return clear.unionByName(copies).unionByName(docs.where("doc_id is null"))
+
