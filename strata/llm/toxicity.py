@@ -143,11 +143,26 @@ def corpus_contexts(texts: DataFrame) -> DataFrame:
     return seen.groupBy("w").agg(F.bit_count(F.bit_or("bits")).alias("contexts"))
 
 
+def _contexts(key: np.ndarray, context: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each different key: where it stands first, its contexts as a bitmap of 64 classes, and its texts."""
+    order = np.lexsort((text, key))
+    key, text = key[order], text[order]
+    new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+    head = np.flatnonzero(new)
+    if not len(head):
+        return head, head.astype(np.uint64), head
+    with np.errstate(over="ignore"):
+        bit = np.uint64(1) << ((context[order] * _MIX) >> np.uint64(58))
+    other = new | np.r_[True, text[1:] != text[:-1]]
+    return order[head], np.bitwise_or.reduceat(bit, head), np.add.reduceat(other.astype(np.int64), head)
+
+
 def class_counts(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(y, w, c) and (y, b, w, k): the contexts of words, and of pairs of words, in texts of class y.
 
     A context is another word before, in another text: the fewer of the two count, so that neither a copied passage nor
-    a text that repeats one word counts more than once.
+    a text that repeats one word counts more than once. Different words before a pair are counted by linear counting
+    over 64 classes of them, so a batch of texts sends one row for each word and pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,13 +172,22 @@ def class_counts(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
             two = _before(before, bounds)
             n = np.diff(bounds)
             y = np.repeat(batch.column("y").to_numpy(), n)
-            d = np.repeat(batch.column("doc_id").to_numpy(), n)
-            arrays = [pa.array(y, pa.int32()), pa.array(d), *(pa.array(x.view(np.int64)) for x in (two, before, word))]
-            yield pa.RecordBatch.from_arrays(arrays, ["y", "d", "a", "b", "w"])
-
-    places = labelled.select("y", "doc_id", "text").mapInArrow(run, "y int, d long, a long, b long, w long")
-    fewer = lambda x: F.least(F.countDistinct(x), F.countDistinct("d"))
-    return places.groupBy("y", "w").agg(fewer("b").alias("c")), places.groupBy("y", "b", "w").agg(fewer("a").alias("k"))
+            row = np.repeat(np.arange(len(n)), n)
+            for pairs, b, context in ((False, np.zeros_like(word), before), (True, before, two)):
+                at, bits, texts = _contexts(_pair(b, word) * np.uint64(2) + y.astype(np.uint64), context, row)
+                cols = [pa.array(np.full(len(at), pairs)), pa.array(y[at], pa.int32())]
+                cols += [pa.array(x.view(np.int64)) for x in (b[at], word[at], bits)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(texts)], ["pairs", "y", "b", "w", "bits", "texts"])
+
+    seen = labelled.select("y", "text").mapInArrow(run, "pairs boolean, y int, b long, w long, bits long, texts long")
+    seen = seen.groupBy("pairs", "y", "b", "w").agg(F.bit_count(F.bit_or("bits")).alias("m"), F.sum("texts").alias("texts"))
+    free = F.greatest(F.lit(64) - F.col("m"), F.lit(1)).cast("double") / F.lit(64.0)
+    seen = seen.withColumn("n", F.least(F.round(F.lit(-64.0) * F.log(free)).cast("long"), F.col("texts")))
+    seen = materialise(seen, "contexts")
+    pairs = seen.where("pairs").select("y", "b", "w", F.col("n").alias("k"))
+    # The words before a word are the pairs that it ends.
+    words = seen.groupBy("y", "w").agg(F.count_if("pairs").alias("c"), F.sum(F.when(~F.col("pairs"), F.col("texts"))).alias("texts"))
+    return materialise(words.select("y", "w", F.least("c", "texts").alias("c")), "words"), pairs
 
 
 def _by_class(pdf, key: np.ndarray, value: str) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, discount: float = DISCOUNT) -> tuple
     chosen = texts.join(F.broadcast(model_rows.unionByName(curve_rows)), "doc_id")
     chosen = materialise(chosen.select("doc_id", "y", "fold", "text"), "labelled")
 
-    uni, counts = (materialise(x, "counts") for x in class_counts(chosen.where("fold <> 4")))
+    uni, counts = class_counts(chosen.where("fold <> 4"))
     kept = lambda c: F.greatest(F.col(c) - discount, F.lit(0.0))
     sums = {r.y: r for r in uni.groupBy("y").agg(F.sum("c").alias("n"), F.sum(kept("c")).alias("kept")).collect()}
     # What is gathered here grows with the bounded sample, not with the corpus.
