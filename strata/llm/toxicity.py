@@ -25,7 +25,9 @@ from strata.llm.storage import materialise
 #: Labelled rows that the models and the curve are fitted on, at most; those of the least hashes are taken.
 MAX_MODEL_ROWS, MAX_CURVE_ROWS = 20_000, 10_000
 #: Discount of context counts: words and word pairs in fewer contexts fall back altogether.
-DISCOUNT = 4.0
+DISCOUNT = 8.0
+#: Of corpus_contexts: most words that are told apart, and pairs of words that a task gathers before it sends them.
+WORDS, HOLD_PAIRS = 1 << 22, 1 << 22
 STEM = 6
 MOST = 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -126,43 +128,97 @@ def _fold():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def corpus_contexts(texts: DataFrame) -> DataFrame:
-    """(w, contexts): for every word of the corpus, how many of 64 classes of words it follows."""
+def _groups(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Where, along ``order``, one of the keys changes."""
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        key = key[order]
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+def _packed(keys: np.ndarray) -> pa.RecordBatch:
+    """Rows (part, keys) of different sorted keys of pairs: 10 bits of part, 22 of word, 32 of hash.
+
+    Words are sent as differences, byte by byte of their places: nearly all are 0 and vanish in compression.
+    """
+    part = (keys >> np.uint64(54)).astype(np.int32)
+    head = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    word = (keys >> np.uint64(32)).astype(np.uint32) & np.uint32(WORDS - 1)
+    step = np.diff(word, prepend=np.uint32(0))
+    step[head] = word[head]
+    step, low = step.view(np.uint8).reshape(-1, 4), keys.astype(np.uint32)
+    rows = [step[a:b].T.tobytes() + low[a:b].tobytes() for a, b in zip(head.tolist(), [*head[1:].tolist(), len(keys)])]
+    return pa.RecordBatch.from_arrays([pa.array(part[head]), pa.array(rows, pa.binary())], ["part", "keys"])
+
+
+def _unpacked(row: bytes) -> np.ndarray:
+    n = len(row) // 8
+    step = np.ascontiguousarray(np.frombuffer(row, np.uint8, 4 * n).reshape(4, n).T).view(np.uint32).ravel()
+    return np.cumsum(step.astype(np.uint64)) << np.uint64(32) | np.frombuffer(row, np.uint32, n, 4 * n).astype(np.uint64)
+
+
+def corpus_contexts(texts: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many different words each of ``words`` (sorted hashes) follows in the corpus, and that of all words together.
+
+    The start of a text is a word like any other. Different pairs of words are told apart by 42 bits of hash for each of
+    ``words``, and for each of 1024 classes of the other ones. They are dealt by hash, so a common word is counted in
+    many tasks.
+    """
+    if len(words) + 1024 > WORDS:
+        raise ValueError(f"{len(words)} words of labelled texts")
+    known = texts.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
         for batch in textops.pieces(batches, "text"):
             word, bounds = _hashes(batch.column("text"))
             before = _before(word, bounds)
-            key, at = np.unique(word, return_inverse=True)
-            bits = np.zeros(len(key), np.uint64)
+            at = np.searchsorted(known.value, word)
+            found = np.zeros(len(word), bool)
+            if len(known.value):
+                found = known.value[np.minimum(at, len(known.value) - 1)] == word
             with np.errstate(over="ignore"):
-                np.bitwise_or.at(bits, at, np.uint64(1) << ((before * _MIX) >> np.uint64(58)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(bits.view(np.int64))], ["w", "bits"])
-
-    seen = texts.select("text").mapInArrow(run, "w long, bits long")
-    return seen.groupBy("w").agg(F.bit_count(F.bit_or("bits")).alias("contexts"))
-
-
-def _contexts(key: np.ndarray, context: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each different key: where it stands first, its contexts as a bitmap of 64 classes, and its texts."""
-    order = np.lexsort((text, key))
-    key, text = key[order], text[order]
-    new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-    head = np.flatnonzero(new)
-    if not len(head):
-        return head, head.astype(np.uint64), head
-    with np.errstate(over="ignore"):
-        bit = np.uint64(1) << ((context[order] * _MIX) >> np.uint64(58))
-    other = new | np.r_[True, text[1:] != text[:-1]]
-    return order[head], np.bitwise_or.reduceat(bit, head), np.add.reduceat(other.astype(np.int64), head)
+                at = np.where(found, at, len(known.value) + ((word * _MIX) >> np.uint64(54)).astype(np.int64)).astype(np.uint64)
+            h = _pair(before, word)
+            held.append(np.unique(h >> np.uint64(54) << np.uint64(54) | at << np.uint64(32) | h >> np.uint64(22) & np.uint64(0xFFFFFFFF)))
+            total += len(held[-1])
+            if total >= HOLD_PAIRS:
+                yield _packed(np.unique(np.concatenate(held)))
+                held, total = [], 0
+        if total:
+            yield _packed(np.unique(np.concatenate(held)))
+
+    def count(table: pa.Table) -> pa.Table:
+        keys = np.unique(np.concatenate([_unpacked(x.as_buffer()) for x in table.column("keys")]))
+        at, n = np.unique(keys >> np.uint64(32), return_counts=True)
+        return pa.table({"i": pa.array(at.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    seen = texts.select("text").mapInArrow(run, "part int, keys binary").groupBy("part").applyInArrow(count, "i long, n long")
+    # Bounded: the words of the labelled sample and 1024 classes.
+    seen = seen.groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(words) + 1024, np.int64)
+    out[seen["i"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
+    return out[: len(words)], int(out.sum())
+
+
+def _contexts(key: np.ndarray, context: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different (key, context) stands first, and the texts of the key, each at one of its contexts."""
+    order = np.lexsort((context, text, key))
+    counted = np.zeros(len(key), np.int64)
+    counted[order[_groups(order, key, text)]] = 1
+    order = np.lexsort((context, key))
+    head = _groups(order, key, context)
+    return order[head], np.add.reduceat(counted[order], head) if len(head) else head
 
 
 def class_counts(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(y, w, c) and (y, b, w, k): the contexts of words, and of pairs of words, in texts of class y.
 
     A context is another word before, in another text: the fewer of the two count, so that neither a copied passage nor
-    a text that repeats one word counts more than once. Different words before a pair are counted by linear counting
-    over 64 classes of them, so a batch of texts sends one row for each word and pair.
+    a text that repeats one word counts more than once. A batch of texts sends one row for each pair and word before it (32 bits of
+    its hash).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,17 +229,18 @@ def class_counts(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
             n = np.diff(bounds)
             y = np.repeat(batch.column("y").to_numpy(), n)
             row = np.repeat(np.arange(len(n)), n)
-            for pairs, b, context in ((False, np.zeros_like(word), before), (True, before, two)):
-                at, bits, texts = _contexts(_pair(b, word) * np.uint64(2) + y.astype(np.uint64), context, row)
+            none = np.zeros_like(word)
+            for pairs, b, context in ((False, none, none), (True, before, two)):
+                at, texts = _contexts(_pair(b, word) * np.uint64(2) + y.astype(np.uint64), context, row)
                 cols = [pa.array(np.full(len(at), pairs)), pa.array(y[at], pa.int32())]
-                cols += [pa.array(x.view(np.int64)) for x in (b[at], word[at], bits)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(texts)], ["pairs", "y", "b", "w", "bits", "texts"])
-
-    seen = labelled.select("y", "text").mapInArrow(run, "pairs boolean, y int, b long, w long, bits long, texts long")
-    seen = seen.groupBy("pairs", "y", "b", "w").agg(F.bit_count(F.bit_or("bits")).alias("m"), F.sum("texts").alias("texts"))
-    free = F.greatest(F.lit(64) - F.col("m"), F.lit(1)).cast("double") / F.lit(64.0)
-    seen = seen.withColumn("n", F.least(F.round(F.lit(-64.0) * F.log(free)).cast("long"), F.col("texts")))
-    seen = materialise(seen, "contexts")
+                cols += [pa.array(x[at].view(np.int64)) for x in (b, word)]
+                cols += [pa.array((context[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(texts)]
+                yield pa.RecordBatch.from_arrays(cols, ["pairs", "y", "b", "w", "context", "texts"])
+
+    seen = labelled.select("y", "text").mapInArrow(run, "pairs boolean, y int, b long, w long, context int, texts long")
+    seen = seen.groupBy("pairs", "y", "b", "w", "context").agg(F.sum("texts").alias("texts"))
+    seen = seen.groupBy("pairs", "y", "b", "w").agg(F.count(F.lit(1)).alias("m"), F.sum("texts").alias("texts"))
+    seen = materialise(seen.withColumn("n", F.least("m", "texts")), "contexts")
     pairs = seen.where("pairs").select("y", "b", "w", F.col("n").alias("k"))
     # The words before a word are the pairs that it ends.
     words = seen.groupBy("y", "w").agg(F.count_if("pairs").alias("c"), F.sum(F.when(~F.col("pairs"), F.col("texts"))).alias("texts"))
@@ -223,14 +280,10 @@ def fit(docs: DataFrame, labels: DataFrame, discount: float = DISCOUNT) -> tuple
     n = np.array([max(1, sums[c].n) if c in sums else 1 for c in (0, 1)], float)
     backoff = np.array([1 - sums[c].kept / n[c] if c in sums else 1.0 for c in (0, 1)])
     vocabulary = np.union1d(words, u64(pairs["w"]))
-    corpus = materialise(corpus_contexts(texts), "contexts")
-    wanted = spark.createDataFrame([(int(x),) for x in vocabulary.view(np.int64)], "w long")
-    shared = corpus.join(F.broadcast(wanted), "w").toPandas()
-    everything = corpus.agg(F.sum("contexts")).first()[0] or 1
+    shared, everything = corpus_contexts(texts, vocabulary)
     table = np.zeros((len(vocabulary), 3))
     table[np.searchsorted(vocabulary, words), :2] = own / n
-    key = u64(shared["w"])
-    table[np.searchsorted(vocabulary, key), 2] = shared["contexts"].to_numpy() / everything
+    table[:, 2] = shared / max(everything, 1)
     pair_keys, pair_counts = _by_class(pairs, _pair(u64(pairs["b"]), u64(pairs["w"])), "v")
     head_keys, head_n = _by_class(heads, u64(heads["b"]), "n")
     _, head_kept = _by_class(heads, u64(heads["b"]), "kept")

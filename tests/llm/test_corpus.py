@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -134,6 +135,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc > 0.9 and sum(s >= 0.5 for s in clean) < 0.02 * len(clean)
 
 
+def test_toxicity_counts_have_no_ceiling(spark):
+    texts = [f"a{i} b{i % 400} same pair a{i}" for i in range(700)] * 2 + ["same pair"]
+    df = spark.createDataFrame([(1, t) for t in texts], "y int, text string").repartition(3)
+    word = lambda w: int(toxicity._hashes(pa.array([w]))[0].view(np.int64)[0])
+    some = np.unique(np.array([word(w) for w in ("same", "pair", "a7", "b7")], np.int64).view(np.uint64))
+    contexts, everything = toxicity.corpus_contexts(df, some)
+    contexts = dict(zip(some.view(np.int64).tolist(), contexts.tolist()))
+    assert [contexts[word(w)] for w in ("same", "pair", "a7", "b7")] == [401, 1, 2, 2]
+    assert everything == len({p for t in texts for p in zip(["", *t.split()], t.split())})
+    assert toxicity.corpus_contexts(df, some[:0])[1] == everything
+    words, pairs = toxicity.class_counts(df)
+    assert {r.w: r.c for r in words.collect()}[word("same")] == 401
+    assert [r.k for r in pairs.where(f"b = {word('same')} and w = {word('pair')}").collect()] == [401]
+
+
 def test_toxicity_without_labels_or_texts(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score_documents(docs, labels).collect()
