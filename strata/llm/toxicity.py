@@ -2,8 +2,9 @@
 
 Two bigram models, of toxic and of ordinary labelled texts, are interpolated with the same backoff: words by the number
 of different words that they follow anywhere in the corpus, labelled or not. Counts are of different contexts, as
-Kneser and Ney have it, so a passage that is copied a thousand times counts once. Words are known by their first
-``STEM`` bytes, so that the forms of a rare expression share their counts. A text's evidence is the log-likelihood
+Kneser and Ney have it, so a passage that is copied a thousand times counts once. Words are cut into
+pieces of ``PIECE`` characters, so that the forms of a rare expression share the counts of their stem, and where text
+has no spaces each character is a word; every piece counts as a word. A text's evidence is the log-likelihood
 ratio of its ``MOST`` most telling words, normalised by their number: an insult is not diluted by the length of the text
 around it, and one doubtful word is not enough. A logistic curve, fitted on labelled rows that neither model has seen,
 turns it into a score.
@@ -28,17 +29,43 @@ MAX_MODEL_ROWS, MAX_CURVE_ROWS = 20_000, 10_000
 DISCOUNT = 8.0
 #: Of corpus_contexts: most words that are told apart, and pairs of words that a task gathers before it sends them.
 WORDS, HOLD_PAIRS = 1 << 22, 1 << 22
-STEM = 6
+#: Characters of a word that share their counts with other words; the next ones are a word again.
+PIECE = 6
 MOST = 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word, and whether it goes on the one before without a gap.
+
+    Runs of letters, digits and two-byte characters are cut after every ``PIECE`` characters. Characters of three bytes
+    and more (of text without spaces nearly all) and those with lead byte C2 (no-break space, quotation marks) are words
+    of their own. So every byte of a run is in one word.
+    """
+    start, end, row = textops.words(data, offsets, textops.ALNUM)
+    if not len(start):
+        return start, end, row, np.zeros(0, bool)
+    mask = textops.ALNUM[data]
+    lead = np.flatnonzero(mask & ((data & 0xC0) != 0x80))
+    alone = (data[lead] == 0xC2) | (data[lead] >= 0xE0)
+    fresh = np.union1d(start, lead[alone | np.r_[False, alone[:-1]]])
+    # Characters since the last start: each piece begins at a multiple.
+    number = np.searchsorted(lead, fresh)
+    since = np.arange(len(lead)) - number[np.maximum(np.searchsorted(fresh, lead, "right") - 1, 0)]
+    tail = lead[(since > 0) & (since % PIECE == 0)]
+    whole = np.union1d(fresh, tail)
+    run = np.searchsorted(start, whole, "right") - 1
+    return whole, np.minimum(np.r_[whole[1:], len(data)], end[run]), row[run], np.isin(whole, tail, assume_unique=True)
+
+
 def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word (never 0) and where each row's words begin."""
     data, offsets = textops.text_bytes(column)
     data = textops.LOWER[data]
-    start, end, row = textops.words(data, offsets, textops.ALNUM)
-    return textops.xxh64(data, start, np.minimum(end - start, STEM)) | np.uint64(1), textops.group_starts(row, len(column))
+    start, end, row, tail = _words(data, offsets)
+    h = textops.xxh64(data, start, end - start)
+    h[tail] ^= _MIX  # the end of a word is not the word that is spelt like it
+    return h | np.uint64(1), textops.group_starts(row, len(column))
 
 
 def _before(word: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from strata.llm import decontam, mixing, sharding, tokens, toxicity, urls
+from strata.llm import decontam, mixing, sharding, textops, tokens, toxicity, urls
 
 SCHEMA = "doc_id long, text string, source string"
 ROWS = [
@@ -150,6 +150,21 @@ def test_toxicity_counts_have_no_ceiling(spark):
     assert [r.k for r in pairs.where(f"b = {word('same')} and w = {word('pair')}").collect()] == [401]
 
 
+def test_toxicity_reads_every_byte(spark):
+    def cut(text):
+        data, offsets = textops.text_bytes(pa.array([text]))
+        return [data[a:b].tobytes().decode() for a, b, *_ in zip(*toxicity._words(data, offsets))]
+
+    assert cut("naïve, приветствие\u00a0x今日は。ok 7") == ["naïve", "привет", "ствие", "\u00a0", "x", "今", "日", "は", "。", "ok", "7"]
+    rng = np.random.default_rng(3)
+    some = lambda n: "".join(chr(0x4E00 + i) for i in rng.integers(0, 60, n))
+    rows = [(i, "今日" + some(8) + ("馬鹿" if i % 2 else "天気") + some(8)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = toxicity.score_documents(docs, labels).where("held_out").collect()
+    assert len(got) > 50 and all(r.predicted == r.doc_id % 2 for r in got)
+
+
 def test_toxicity_without_labels_or_texts(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score_documents(docs, labels).collect()
