@@ -4,10 +4,10 @@ Two bigram models, of toxic and of ordinary labelled texts, are interpolated wit
 of different words that they follow anywhere in the corpus, labelled or not. Counts are of different contexts, as
 Kneser and Ney have it, so a passage that is copied a thousand times counts once. Words are cut into
 pieces of ``PIECE`` characters, so that the forms of a rare expression share the counts of their stem, and where text
-has no spaces each character is a word; every piece counts as a word. A text's evidence is the log-likelihood
-ratio of its ``MOST`` most telling words, normalised by their number: an insult is not diluted by the length of the text
-around it, and one doubtful word is not enough. A logistic curve, fitted on labelled rows that neither model has seen,
-turns it into a score.
+has no spaces each character is a word; every piece counts as a word. A text's evidence is the log-likelihood ratio of
+all its words, normalised by their number, and that of its ``MOST`` most telling ones, so that an insult is not diluted
+by the length of the text around it. A logistic curve of both, fitted on labelled rows that neither model has seen,
+turns them into a score.
 """
 
 from __future__ import annotations
@@ -117,34 +117,38 @@ class Model:
         return log[1] - log[0]
 
     def evidence(self, column: pa.Array, most: int = MOST) -> np.ndarray:
+        """For every text: the mean ratio of its ``most`` most telling words (or of all, if fewer), and of all its words."""
         word, bounds = _hashes(column)
-        out = np.zeros(len(column))
+        out = np.zeros((len(column), 2))
         if not len(word):
             return out
         ratio = self.ratios(word, _before(word, bounds))
-        row = np.repeat(np.arange(len(column)), np.diff(bounds))
+        n = np.diff(bounds)
+        row = np.repeat(np.arange(len(column)), n)
+        out[:, 1] = np.bincount(row, ratio, len(column)) / np.maximum(n, 1)
         ratio = ratio[np.lexsort((-ratio, row))]  # each text's words, the most telling first
         first = bounds[:-1]
         for i in range(most):
-            has = first + i < bounds[1:]
-            out[has] += ratio[first[has] + i] / most
+            has = n > i
+            out[has, 0] += ratio[first[has] + i] / np.minimum(n[has], most)
         return out
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve, with a weak pull towards slope 1 and even odds; Newton's method."""
-    a, b = 1.0, 0.0
+def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes for the columns of ``x`` and intercept of a logistic curve, with a weak pull towards slopes 1 and even odds; Newton's method."""
+    x = np.c_[x, np.ones(len(x))]
+    goal = np.r_[np.ones(x.shape[1] - 1), 0.0]
+    a = goal.copy()
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p)
-        g = np.array([((p - y) * x).sum() + 0.01 * (a - 1), (p - y).sum() + 0.01 * b])
-        h = np.array([[(w * x * x).sum() + 0.01, (w * x).sum()], [(w * x).sum(), w.sum() + 0.01]])
+        p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
+        g = x.T @ (p - y) + 0.01 * (a - goal)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(a))
         step = np.linalg.solve(h, g)
         step *= min(1.0, 5.0 / max(1e-9, float(np.abs(step).max())))
-        a, b = a - step[0], b - step[1]
+        a = a - step
         if np.abs(step).max() < 1e-9:
             break
-    return float(max(a, 0.0)), float(b)
+    return a
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -281,8 +285,8 @@ def _by_class(pdf, key: np.ndarray, value: str) -> tuple[np.ndarray, np.ndarray]
     return keys, out
 
 
-def fit(docs: DataFrame, labels: DataFrame, discount: float = DISCOUNT) -> tuple[Model, float, float]:
-    """The models and the curve (slope, intercept), from rows whose fold (crc32 of the doc_id as text, mod 5) is not 0."""
+def fit(docs: DataFrame, labels: DataFrame, discount: float = DISCOUNT) -> tuple[Model, np.ndarray]:
+    """The models and the curve (slopes, intercept), from rows whose fold (crc32 of the doc_id as text, mod 5) is not 0."""
     spark = docs.sparkSession
     texts = _texts(docs)
     marked = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -320,10 +324,11 @@ def fit(docs: DataFrame, labels: DataFrame, discount: float = DISCOUNT) -> tuple
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textops.pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(shared_model.value.evidence(batch.column("text"))), batch.column("y")], ["x", "y"])
+            x = shared_model.value.evidence(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("y")], ["most", "all", "y"])
 
-    seen = chosen.where("fold = 4").select("text", "y").mapInArrow(measure, "x double, y int").toPandas()
-    return model, *fit_curve(seen["x"].to_numpy(), seen["y"].to_numpy().astype(float))
+    seen = chosen.where("fold = 4").select("text", "y").mapInArrow(measure, "most double, all double, y int").toPandas()
+    return model, fit_curve(seen[["most", "all"]].to_numpy(float), seen["y"].to_numpy().astype(float))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -337,14 +342,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
     """
     new = ("held_out", "score", "predicted")
     keep = [c for c in keep or ["doc_id"] if c not in new]
-    model, slope, intercept = fit(docs, labels)
+    model, curve = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carried = [f for f in docs.schema.fields if f.name in {*keep, "text"}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textops.pieces(batches, "text"):
             x = shared.value.evidence(batch.column("text"))
-            score = 1 / (1 + np.exp(-np.clip(slope * x + intercept, -30, 30)))
+            score = 1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -30, 30)))
             column = {c: v for c, v in zip(batch.schema.names, batch.columns) if c in {*keep, "held_out"}}
             column |= {"score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))}
             yield pa.RecordBatch.from_arrays(list(column.values()), list(column))

@@ -165,6 +165,17 @@ def test_toxicity_reads_every_byte(spark):
     assert len(got) > 50 and all(r.predicted == r.doc_id % 2 for r in got)
 
 
+def test_toxicity_weighs_all_words():
+    words = np.array(["bad", "fine", "good"])
+    keys = toxicity._hashes(pa.array([" ".join(words)]))[0]
+    share = np.array([[0.01, 0.09, 0.05], [0.05, 0.05, 0.05], [0.09, 0.01, 0.05]])
+    order, none = np.argsort(keys), np.zeros(0, np.uint64)
+    model = toxicity.Model(keys[order], share[order], np.ones(2), none, np.zeros((0, 2)), none, np.zeros((0, 4)))
+    got = model.evidence(pa.array(["bad bad bad", "bad bad bad good good good", "bad", None]))
+    r = dict(zip(words, np.log((share[:, 1] + 0.05) / (share[:, 0] + 0.05))))
+    assert np.allclose(got, [[r["bad"]] * 2, [r["bad"], (r["bad"] + r["good"]) / 2], [r["bad"]] * 2, [0, 0]])
+
+
 def test_toxicity_without_labels_or_texts(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score_documents(docs, labels).collect()
