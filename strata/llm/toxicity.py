@@ -32,6 +32,8 @@ WORDS, HOLD_PAIRS = 1 << 22, 1 << 22
 #: Characters of a word that share their counts with other words; the next ones are a word again.
 PIECE = 6
 MOST = 3
+#: Log-odds of a text to be toxic where labels of one class, or both, are missing to fit them on.
+PRIOR = -1.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -328,6 +330,8 @@ def fit(docs: DataFrame, labels: DataFrame, discount: float = DISCOUNT) -> tuple
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("y")], ["most", "all", "y"])
 
     seen = chosen.where("fold = 4").select("text", "y").mapInArrow(measure, "most double, all double, y int").toPandas()
+    if len(sums) < 2 or seen["y"].nunique() < 2:
+        return model, np.array([1.0, 1.0, PRIOR] if len(sums) == 2 else [0.0, 0.0, PRIOR])
     return model, fit_curve(seen[["most", "all"]].to_numpy(float), seen["y"].to_numpy().astype(float))
 
 
@@ -336,9 +340,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
 
     score: 0 to 1, from the text alone; predicted: 1 from 0.5 on. held_out: the fold of the doc_id is 0 (its label is
     not read). Null and empty texts have no evidence either way, and the score of that. Of several labels of a document
-    the largest holds; null labels and labels other than 0 and 1 are not read; without any label, or an empty corpus,
-    the models are equal. A null doc_id is scored, in the fold of the empty text. Columns of ``docs`` with the new
-    columns' names are replaced; repeated rows are scored each.
+    the largest holds; null labels and labels other than 0 and 1 are not read. Without labels of both classes for the
+    models every text has the score of ``PRIOR``, which is below 0.5; without those for the curve it has slopes 1 and
+    that intercept. A null doc_id is scored, in the fold of the empty text. Columns of ``docs`` with the new columns'
+    names are replaced; repeated rows are scored each.
     """
     new = ("held_out", "score", "predicted")
     keep = [c for c in keep or ["doc_id"] if c not in new]

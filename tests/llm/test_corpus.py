@@ -183,6 +183,13 @@ def test_toxicity_without_labels_or_texts(spark, docs):
     assert toxicity.score_documents(docs.limit(0), labels).collect() == []
 
 
+def test_toxicity_keeps_rows_without_labels_of_both_classes(spark, docs):
+    for toxic in ([], [0], [1]):
+        marked = [(d, t) for d in range(10, 40) for t in toxic]
+        labels = spark.createDataFrame(marked, "doc_id long, toxic int")
+        assert toxicity.drop_toxic(docs, labels).count() == len(ROWS)
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, before = docs.columns, docs
