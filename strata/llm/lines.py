@@ -27,7 +27,8 @@ from strata.llm.repeats import _digests
 from strata.llm.sketch import Bloom
 from strata.llm.storage import materialise
 
-#: Two lines are linked at so many edits of bytes, and at one edit for each FIFTH bytes of the longer (similarity 0.8).
+#: Two lines are linked at so many edits of bytes, but at one at most for each FIFTH bytes of the longer: similarity 0.8
+#: in lines below 15 bytes, and more in longer ones, where most near-equal lines stay unlinked (README).
 EDITS, FIFTH = 2, 5
 #: Lines of a hash that one task compares with each other.
 TILE = 512
@@ -320,8 +321,8 @@ def line_classes(docs: DataFrame, edits: int = EDITS, tile: int = TILE) -> DataF
     """doc_id, line_no, n_bytes, class_doc_id, class_line_no, n_links, kept for every line with more than white space.
 
     Lines end at line feeds and are compared as UTF-8 bytes, unchanged. Two different lines are linked when their edit
-    distance is at most ``edits`` and at most a FIFTH of the longer (similarity 0.8 or more): lines below five bytes
-    link with their like only. Equal lines and linked lines, directly or through others, are a class, named by its
+    distance is at most ``edits`` and at most a FIFTH of the longer: lines below five bytes link with their like only,
+    and long lines that differ in a whole word do not link. Equal lines and linked lines, directly or through others, are a class, named by its
     first line (doc_id, then line_no; null doc_ids last), which is kept. n_links: different lines that the line is
     linked to. line_no counts all lines of the text from 0. Null and empty texts have no lines; lines of rows that
     repeat a doc_id with equal text are kept or dropped together; an empty table gives no rows; columns other than
