@@ -47,17 +47,33 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     start, end, row = textops.words(data, offsets, textops.ALNUM)
     if not len(start):
         return start, end, row, np.zeros(0, bool)
-    mask = textops.ALNUM[data]
-    lead = np.flatnonzero(mask & ((data & 0xC0) != 0x80))
-    alone = (data[lead] == 0xC2) | (data[lead] >= 0xE0)
-    fresh = np.union1d(start, lead[alone | np.r_[False, alone[:-1]]])
-    # Characters since the last start: each piece begins at a multiple.
-    number = np.searchsorted(lead, fresh)
-    since = np.arange(len(lead)) - number[np.maximum(np.searchsorted(fresh, lead, "right") - 1, 0)]
-    tail = lead[(since > 0) & (since % PIECE == 0)]
-    whole = np.union1d(fresh, tail)
-    run = np.searchsorted(start, whole, "right") - 1
-    return whole, np.minimum(np.r_[whole[1:], len(data)], end[run]), row[run], np.isin(whole, tail, assume_unique=True)
+    alone = np.flatnonzero((data == 0xC2) | (data >= 0xE0))
+    if len(alone):
+        after = alone + 2 + (data[alone] >= 0xE0) + (data[alone] >= 0xF0)
+        after = after[after < len(data)]
+        fresh = np.union1d(start, np.r_[alone, after[textops.ALNUM[data[after]]]])
+        run = np.searchsorted(start, fresh, "right") - 1
+        start, end, row = fresh, np.minimum(np.r_[fresh[1:], len(data)], end[run]), row[run]
+    long = np.flatnonzero(end - start > PIECE)
+    high = np.r_[0, np.cumsum(data >= 0x80, dtype=np.int32)]
+    mixed = high[end[long]] > high[start[long]]
+    tails, owners = [], []
+    for at, step in ((long[~mixed], PIECE), (long[mixed], 1)):
+        n = (end[at] - start[at] - 1) // step  # places after the first, of pieces or of bytes
+        owner = np.repeat(at, n)
+        place = start[owner] + step * (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + 1)
+        if step == 1:
+            lead = (data[place] & 0xC0) != 0x80
+            owner, place = owner[lead], place[lead]
+            number = np.arange(len(owner)) - np.searchsorted(owner, owner) + 1
+            owner, place = owner[number % PIECE == 0], place[number % PIECE == 0]
+        tails.append(place)
+        owners.append(owner)
+    whole = np.concatenate([start, *tails])
+    order = np.argsort(whole, kind="stable")
+    owner = np.concatenate([np.arange(len(start)), *owners])[order]
+    whole = whole[order]
+    return whole, np.minimum(np.r_[whole[1:], len(data)], end[owner]), row[owner], order >= len(start)
 
 
 def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
