@@ -23,6 +23,7 @@ from strata.llm import textops
 from strata.llm.components import components
 from strata.llm.sketch import Bloom
 from strata.llm.storage import materialise
+from strata.llm.textops import unused
 
 BUDGET = 3
 #: Fingerprints in one side of a task's join; a subtrie beyond it is dealt to pairs of chunks.
@@ -32,6 +33,8 @@ FRONTIER = 1 << 17
 FLUSH = 1 << 18
 #: Up to so many fingerprints for each key of a cut before the next cut, with more bits and copies, is taken.
 PER_KEY = 4096
+#: Shingles that are hashed and counted at once, also those of one very long text.
+SLICE = 1 << 15
 
 
 def simhash_batch(column: pa.Array, shingle: int = 3) -> np.ndarray:
@@ -48,36 +51,43 @@ def simhash_batch(column: pa.Array, shingle: int = 3) -> np.ndarray:
     spaced = spaced[~keep[spaced]]
     keep[spaced] = True
     data[spaced] = 0x20
-    at = np.cumsum(keep) - 1
-    start, end = at[start], at[end - 1] + 1
+    at = np.cumsum(keep, dtype=np.int64)
+    start, end = at[start] - 1, at[end - 1]
     data = data[keep]
+    del keep, at
 
     bounds = textops.group_starts(row, rows)
     count = np.diff(bounds)
     each = np.maximum(count - shingle + 1, np.minimum(count, 1))  # shingles of a row
     first = np.cumsum(each) - each
-    owner = np.repeat(np.arange(rows), each)
-    head = np.arange(each.sum()) - first[owner] + bounds[owner]
-    tail = np.minimum(head + shingle, bounds[owner + 1]) - 1
-    h = textops.xxh64(data, start[head], end[tail] - start[head])
     filled = np.flatnonzero(each)
-    votes = np.zeros((len(filled), 64), np.int64)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    np.add.reduceat(bits, first[filled], axis=0, dtype=np.int64, out=votes)
-    majority = votes * 2 > each[filled, None]
+    votes = np.zeros((rows, 64), np.int64)
+    for lo in range(0, int(each.sum()), SLICE):
+        k = np.arange(lo, min(lo + SLICE, int(each.sum())))
+        owner = filled[np.searchsorted(first[filled], k, "right") - 1]
+        head = k - first[owner] + bounds[owner]
+        tail = np.minimum(head + shingle, bounds[owner + 1]) - 1
+        base = start[head[0]]
+        h = textops.xxh64(data[base : end[tail].max()], start[head] - base, end[tail] - start[head])
+        new = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes[owner[new]] += np.add.reduceat(bits, new, axis=0, dtype=np.int64)
+    majority = votes[filled] * 2 > each[filled, None]
     out[filled] = np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, carry: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, fp) for every row; ``carry``: names and SQL of strings that go along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textops.pieces(batches, "text"):
             fp = simhash_batch(batch.column("text"), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], [*batch.schema.names[:-1], "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long")
+    more = [F.expr(sql).alias(c) for c, sql in (carry or {}).items()]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, " + "".join(f"{c} string, " for c in carry or {}) + "fp long")
 
 
 # ---------------------------------------------------------------------------------------------- the trie self-join
@@ -268,6 +278,14 @@ def near_links(distinct: DataFrame, n: int, budget: int = BUDGET, tile: int = TI
     return tiled.mapInArrow(run, "a long, b long")
 
 
+def _rooted(base: DataFrame, budget: int, tile: int) -> DataFrame:
+    """(fp, least, n, root) for every different fingerprint of ``base``: its least doc_id, its rows, the least linked one."""
+    distinct = materialise(base.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    linked = components(near_links(distinct.select("fp"), distinct.count(), budget, tile))
+    rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left")
+    return rooted.select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = BUDGET, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of ``docs``.
 
@@ -277,37 +295,45 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = BUDGET,
     only null ids). Repeated rows each come out; an empty table gives no rows; other columns are ignored.
     """
     base = materialise(fingerprints(docs, shingle), "fingerprints")
-    distinct = base.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = materialise(distinct, "distinct")
-    linked = components(near_links(distinct.select("fp"), distinct.count(), budget, tile))
-    rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left")
-    rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(base, budget, tile)
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(heads, "root").select("fp", "component_id")
-    out = base.join(named, "fp")
+    out = base.join(named, "fp")  # rows of one frequent fingerprint are split by the adaptive join: each has one partner
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, budget: int = BUDGET) -> DataFrame:
-    """The rows of ``docs`` that stay when of each component only the smallest doc_id does, with the columns of ``docs``.
+    """The rows of ``docs`` that stay when of each component one row does, with the columns of ``docs``.
 
-    Of rows that repeat that doc_id one stays (of different texts, any of them). Rows without doc_id all stay: nothing
-    names them. Null and empty texts are a group like any other. An empty table gives no rows. Rows that a filter of bounded size knows as no one's copy stay without a shuffle.
+    It is that of the smallest doc_id (null after all others), of several texts under that doc_id the one of the least
+    MD5, of rows that repeat both the one with the least checksum of all columns. So rows that share a doc_id are judged
+    each by its own text, reruns agree, and null and empty texts are a group like any other. An empty table gives no
+    rows. Rows that a filter of bounded size knows as no one's copy stay without a shuffle.
     """
-    found = simhash_components(docs, shingle, budget).where("doc_id is not null")
-    found = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
-    goes = materialise(found.where("n > 1 or doc_id <> c").select("doc_id", "c", F.xxhash64("doc_id").alias("h")), "copies")
-    passes = docs.sparkSession.sparkContext.broadcast(Bloom.of(goes, "h"))
+    base = materialise(fingerprints(docs, shingle, {"t": "md5(coalesce(cast(text as string), ''))"}), "fingerprints")
+    rooted = _rooted(base, budget, TILE)
+    crowds = rooted.groupBy("root").agg(F.sum("n").alias("rows")).where("rows > 1")
+    crowded = base.join(rooted.join(crowds, "root").select("fp", "root"), "fp")
+    texts = materialise(crowded.groupBy("root", "doc_id", "t").agg(F.count(F.lit(1)).alias("n")), "copies")
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t")
+    first = texts.groupBy("root").agg(F.min(place).alias("first"))
+    judged = texts.join(first, "root").select(
+        F.xxhash64("doc_id", "t").alias("h"), "doc_id", "t", (place == F.col("first")).alias("stays"), "n"
+    )
+    judged = materialise(judged.where("n > 1 or not stays"), "judged")
+    passes = docs.sparkSession.sparkContext.broadcast(Bloom.of(judged, "h"))
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
         return pd.Series(passes.value.has(h.to_numpy(np.int64)))
 
-    key = F.col("doc_id").cast("long")
-    named = docs.where("doc_id is not null")
-    clear = named.where(~maybe(F.xxhash64(key)))
-    other = named.where(maybe(F.xxhash64(key))).withColumn("_key", key)
-    goes = goes.select(F.col("doc_id").alias("_key"), F.col("c").alias("_c"))
-    copies = other.join(goes.where("_key <> _c"), "_key", "left_anti").dropDuplicates(["_key"]).drop("_key")
-    return clear.unionByName(copies).unionByName(docs.where("doc_id is null"))
-
+    key, text, stays = unused(docs.columns, "doc_id", "text", "stays")
+    keyed = docs.withColumns({key: F.col("doc_id").cast("long"), text: F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    near = maybe(F.xxhash64(F.col(key), F.col(text)))
+    other = keyed.where(near).join(judged, F.col(key).eqNullSafe(judged["doc_id"]) & (F.col(text) == judged["t"]), "left")
+    other = other.where(judged["stays"].isNull() | judged["stays"]).select(*[keyed[f"`{c}`"] for c in keyed.columns], judged["stays"].alias(stays))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    once = other.where(F.col(stays)).groupBy(key, text).agg(F.min_by(F.struct(*names), order).alias(stays))
+    once = once.select(*[F.col(stays)[c].alias(c) for c in docs.columns])
+    return keyed.where(~near).select(*names).unionByName(other.where(F.col(stays).isNull()).select(*names)).unionByName(once)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Work on so many text bytes at a time; a longer single text makes a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def table_of(*ranges: tuple[int, int]) -> np.ndarray:
@@ -28,6 +28,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+def unused(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column of ``taken`` has, whatever its case."""
+    low = {c.lower() for c in taken}
+    mark = "_"
+    while any((mark + w).lower() in low for w in wanted):
+        mark += "_"
+    return [mark + w for w in wanted]
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of ``column``."""
     for batch in batches:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -168,6 +169,33 @@ def test_simhash_components(spark):
     assert sorted(r.doc_id for r in stay.collect()) == sorted(d for d in prints if component[d] == d)
 
 
+def test_one_of_each_group_stays(spark):
+    long = " ".join(f"w{i}" for i in range(70_000))
+    rows = [(1, "a b c d"), (1, "quite another text under this id"), (2, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "x y z"), (None, "x y z")]
+    rows += [(5, None), (4, ""), (6, "x y z w v u"), (6, "x y z w v u"), (7, long), (8, long + " tail"), (9, None)]
+    df = spark.createDataFrame([(d, t, i % 2, "k") for i, (d, t) in enumerate(rows)], "doc_id long, text string, _key int, _doc_id string")
+    kinds = defaultdict(list)
+    for d, t in rows:
+        kinds[fingerprint(t)].append((d is None, d or 0, hashlib.md5((t or "").encode()).hexdigest(), d, t))
+    prints = list(kinds)
+    for a in prints:
+        for b in prints:
+            if a != b and kinds[a] and (a ^ b).bit_count() <= 3:
+                kinds[b] += kinds[a]
+                kinds[a] = []
+    want = sorted((min(k)[3:] for k in kinds.values() if k), key=str)
+    for _ in range(2):
+        stay = simhash.keep_one(df.repartition(3))
+        assert stay.columns == df.columns
+        assert sorted(((r.doc_id, r.text) for r in stay.collect()), key=str) == want
+
+
+def test_fingerprints_of_long_texts(monkeypatch):
+    texts = [words(random.Random(i), n) for i, n in enumerate((0, 1, 2, 3, 50, 400, 5))] + [None, "A\tb \n c"]
+    monkeypatch.setattr(simhash, "SLICE", 7)
+    assert simhash.simhash_batch(pa.array(texts, pa.string())).tolist() == [fingerprint(t) for t in texts]
+
+
 def test_equal_texts(spark):
     rows = [r for r in documents() if r[0] is not None and r != (3, "a" * 100)]
     df = spark.createDataFrame(rows, SCHEMA)
