@@ -283,7 +283,7 @@ def _rooted(base: DataFrame, budget: int, tile: int) -> DataFrame:
     distinct = materialise(base.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     linked = components(near_links(distinct.select("fp"), distinct.count(), budget, tile))
     rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left")
-    return rooted.select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    return materialise(rooted.select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = BUDGET, tile: int = TILE) -> DataFrame:
@@ -296,7 +296,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = BUDGET,
     """
     base = materialise(fingerprints(docs, shingle), "fingerprints")
     rooted = _rooted(base, budget, tile)
-    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # A written table: a large component's rows are then a join's alone, which adaptive execution may split.
+    heads = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "heads")
     named = rooted.join(heads, "root").select("fp", "component_id")
     out = base.join(named, "fp")  # rows of one frequent fingerprint are split by the adaptive join: each has one partner
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -312,11 +313,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, budget: int = BUDGET) -> DataFra
     """
     base = materialise(fingerprints(docs, shingle, {"t": "md5(coalesce(cast(text as string), ''))"}), "fingerprints")
     rooted = _rooted(base, budget, TILE)
-    crowds = rooted.groupBy("root").agg(F.sum("n").alias("rows")).where("rows > 1")
+    crowds = materialise(rooted.groupBy("root").agg(F.sum("n").alias("rows")).where("rows > 1"), "crowds")
     crowded = base.join(rooted.join(crowds, "root").select("fp", "root"), "fp")
     texts = materialise(crowded.groupBy("root", "doc_id", "t").agg(F.count(F.lit(1)).alias("n")), "copies")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t")
-    first = texts.groupBy("root").agg(F.min(place).alias("first"))
+    first = materialise(texts.groupBy("root").agg(F.min(place).alias("first")), "first")
     judged = texts.join(first, "root").select(
         F.xxhash64("doc_id", "t").alias("h"), "doc_id", "t", (place == F.col("first")).alias("stays"), "n"
     )

@@ -63,13 +63,27 @@ def without_repeats(rows, width):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("width", "gram", "most"), [(24, 8, 2000), (24, 8, 3), (40, 16, 3)])
+@pytest.mark.parametrize(("width", "gram", "most"), [(24, 8, 2000), (24, 8, 3), (40, 16, 3), (70, 8, 2)])
 def test_repeated_strings(spark, width, gram, most):
     rows = documents()
     got = repeats.drop_repeats(spark.createDataFrame(rows, SCHEMA), width, gram, most)
     assert sorted([tuple(r)[:5] for r in got.collect()], key=str) == without_repeats(rows, width)
 
 
+def test_repeated_strings_at_full_width(spark):
+    """Production width: a passage that many texts share, one with a counter inside, equal texts, a text full of itself."""
+    rng = random.Random(8)
+    passage, other = words(rng, 220), words(rng, 200)
+    rows = [(i, words(rng, rng.randint(0, 60)) + passage[rng.randint(0, 40) :] + words(rng, rng.randint(0, 60))) for i in range(40)]
+    rows += [(100 + i, f"{other[:300]} page {i} {other[300:]}") for i in range(40)]
+    rows += [(200 + i, "the same text " * 40) for i in range(30)] + [(300, "ab" * 700), (301, None), (302, ""), (303, "é" * 300), (None, passage), (None, "x")]
+    rows += [(400 + i, words(rng, 120)) for i in range(20)] + [(500, words(rng, 20_000) + passage)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string").repartition(5)
+    for most in (repeats.MOST_SEGMENTS, 12):
+        got = repeats.drop_repeats(df, most=most).collect()
+        assert sorted([tuple(r)[:5] for r in got], key=str) == without_repeats(rows, 400)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
