@@ -7,24 +7,29 @@ from __future__ import annotations
 
 import logging
 import random
-from collections.abc import Iterable
+import threading
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.interval import mask
 from strata.functions.normal import EMPTY, UNIVERSE, Normal, normalise
-from strata.functions.predicate import Always, Predicate, all_of
+from strata.functions.predicate import Always, Predicate, all_of, references
 from strata.operators.aggregates import Aggregate, AggregateNotSupported, grouped, stitched
 from strata.operators.query import Query, compile_query, needed_fields, restrict
 from strata.plans.ledger import Entry, Ledger
 from strata.plans.resource import OUTBOX, ConfigError, Resource, Unsupported
-from strata.sources.layers import Layer, written
+from strata.plans.strategy import Strategy, chosen
+from strata.sources.layers import EXPRESSIONS, READ, TENANTS, Layer, written
 from strata.telemetry import Telemetry, fingerprint
 
 log = logging.getLogger("strata")
@@ -34,8 +39,26 @@ MOST_CHANGED_ROWS = 1_000_000
 FEW_ROWS = 64
 
 
+#: What a store that fails raises; anything else is an error of ours.
+FAULTS = (OSError, PySparkException, Py4JError)
+
+
 class NoRollback(Exception):
-    """An error that has to reach the caller as it is."""
+    """An error that reaches the caller as it is, and undoes nothing of a transaction."""
+
+
+class Rollback(Exception):
+    """Ends a transaction and undoes it; ``reason`` is what it gives back."""
+
+    def __init__(self, reason=None):
+        super().__init__(reason)
+        self.reason = reason
+
+
+class Transaction:
+    """What a transaction was undone for, if it was."""
+
+    rolled_back, reason = False, None
 
 
 class Engine:
@@ -45,6 +68,9 @@ class Engine:
         self.resources: dict[str, Resource] = {}
         self.disabled: set[str] = set()
         self.outboxes: dict[str, object] = {}
+        self.strategies: dict[str, Strategy] = {}
+        self.locks: dict[str, threading.RLock] = {}
+        self.local = threading.local()
         self.random = random.Random(seed)
         for r in resources:
             self.register(r)
@@ -55,21 +81,33 @@ class Engine:
         for f in r.schema.fields:
             if have.get(f.name) != f.dataType:
                 raise ConfigError(f"{r.name}: the source has {have.get(f.name)} for {f.name}, not {f.dataType}")
+        kind, options = chosen(r)
         self.resources[r.name] = r
-        if r.strategy == OUTBOX:
-            from strata.plans.outbox import Outbox
-
-            self.outboxes[r.name] = Outbox(self, r)
+        self.locks.setdefault(r.name, threading.RLock())
+        self.strategies[r.name] = kind(self, r, **options)
         return r
 
     def start(self) -> None:
         """What is to happen when the process starts: outbox resources fill their local layer. A failure is logged."""
-        for box in self.outboxes.values():
-            box.boot()
+        for s in self.strategies.values():
+            s.start()
+
+    def stop(self) -> None:
+        for s in self.strategies.values():
+            s.stop()
 
     def outbox(self, name: str):
         return self.outboxes[name]
 
+    def resolve(self, name: str) -> Resource:
+        """The resource that a stored name means; a name is never made into one."""
+        if name not in self.resources:
+            raise ConfigError(f"no resource {name!r} is registered")
+        return self.resources[name]
+
+    def can(self, name: str, feature) -> bool:
+        return self.strategies[name].can(feature)
+
     def disable(self, name: str) -> None:
         """Kill switch: reads go to the source, writes to the authority; invalidation goes on."""
         self.disabled.add(name)
@@ -91,7 +129,11 @@ class Engine:
         return df.where(F.col(r.tenant_attribute) == F.lit(tenant)) if r.tenant_attribute and tenant is not None else df
 
     def _on(self, q: Query, r: Resource, layer: Layer, skip: frozenset[str] = frozenset()) -> DataFrame:
-        """A query on one layer as it is."""
+        """A query on one layer as it is. A step that the layer can't take is an error, never left out."""
+        wanted = {READ: True, TENANTS: r.tenant_attribute is not None and q.tenant is not None, EXPRESSIONS: bool(set(q.calculations) - skip)}
+        for capability, used in wanted.items():
+            if used and capability not in layer.capabilities:
+                raise Unsupported(f"{r.name}: layer {layer.name!r} has no {capability}")
         return compile_query(q, self._scoped(r, layer.scan(), q.tenant), r.names, r.primary_key, r.calculations, skip)
 
     def _event(self, kind: str, q: Query, measurements: dict | None = None, **more) -> None:
@@ -102,16 +144,48 @@ class Engine:
         own = {r.relationships[r.aggregates[a].relationship].own for a in q.aggregates}
         return needed_fields(q, r.names, r.primary_key, r.calculations) | own
 
-    def read(self, q: Query) -> DataFrame:
-        """The rows of a query, from the first layer that is proven to hold them all; the order of these cases matters."""
+    def _checked(self, q: Query) -> Query:
+        """The query with the resource's own filter; refused if it has no tenant, or filters or sorts by an aggregate."""
         r = self.resources[q.resource]
-        if r.base_filter is not None:
-            q = q.where(r.base_filter)
+        self._tenant(r, q.tenant)
+        names = set(r.aggregates)
+        if names & (references(q.filter, sorted(names)) | {n for n, _ in (*q.sort, *q.distinct_sort)}):
+            raise AggregateNotSupported(f"{r.name}: no filter or sort by an aggregate")
+        return q if r.base_filter is None else q.where(r.base_filter)
+
+    @staticmethod
+    def _tenant(r: Resource, tenant: str | None) -> None:
+        if r.tenant_attribute and tenant is None and not r.tenant_global:
+            raise Unsupported(f"{r.name}: a tenant is needed")
+
+    def read(self, q: Query) -> DataFrame:
+        """The rows of a query, by the resource's strategy."""
+        r, q = self.resources[q.resource], self._checked(q)
         if forced := q.context.get("read_from"):
             self._event("forced", q, layer=forced)
-            return self._with_aggregates(q, r, lambda b: self._on(b, r, r.layer(forced)), from_source=True)
-        if r.strategy == OUTBOX:
-            return self._with_aggregates(q, r, lambda b: self._on(b, r, r.authority), from_source=True)
+            return self.read_layer(q, r, r.layer(forced))
+        return self.strategies[q.resource].read(q)
+
+    def read_layer(self, q: Query, r: Resource, layer: Layer) -> DataFrame:
+        return self._with_aggregates(q, r, lambda b: self._on(b, r, layer), from_source=True)
+
+    def point(self, name: str, layer: str, key: dict, tenant: str | None = None) -> DataFrame:
+        """One row of a named layer by its whole primary key, with all attributes, or none."""
+        r = self.resources[name]
+        if set(key) != set(r.primary_key):
+            raise Unsupported(f"{name}: {sorted(key)} is not the primary key")
+        rows = self.all_of_layer(name, layer, tenant)
+        for k, v in key.items():
+            rows = rows.where(F.col(f"`{k}`") == F.lit(v).cast(r.schema[k].dataType))
+        return rows.limit(1)
+
+    def all_of_layer(self, name: str, layer: str, tenant: str | None = None) -> DataFrame:
+        """All rows of a named layer, past every proof."""
+        r = self.resources[name]
+        return self._scoped(r, r.layer(layer).scan(), tenant).select(*r.names)
+
+    def read_proven(self, q: Query, r: Resource) -> DataFrame:
+        """From the first layer that is proven to hold all rows; the order of these cases matters."""
         if q.resource in self.disabled:
             self._event("miss", q, reason="disabled")
             return self._with_aggregates(q, r, lambda b: self._on(b, r, r.source), from_source=True)
@@ -130,7 +204,7 @@ class Engine:
         return self._computed(q)
 
     def _local(self, r: Resource, calculation: str) -> bool:
-        return r.local_evaluation and calculation not in r.overrides and not r.calculations[calculation].source_only
+        return r.local_evaluation and EXPRESSIONS in r.cache.capabilities and calculation not in r.overrides and not r.calculations[calculation].source_only
 
     def _computed(self, q: Query) -> DataFrame:
         """Calculations that the cache can't evaluate come from one narrow query of the source, by primary key."""
@@ -148,7 +222,7 @@ class Engine:
         base = replace(q, calculations=tuple(c for c in q.calculations if c not in remote), select=tuple(dict.fromkeys((*shown, pk))))
         hit, _ = self.covers(base)
         if hit is None:
-            return self._covered(q)
+            return self._covered(q, split=False)  # one query of the source brings rows and calculations
         rows = self._covered(base)
         wanted = rows.select(F.col(pk).alias("_pk"))
         values = self._scoped(r, r.source.scan(), q.tenant).join(wanted, F.col(pk) == F.col("_pk"), "left_semi")
@@ -166,7 +240,7 @@ class Engine:
         r = self.resources[q.resource]
         return self.ledger.covers(q.resource, q.tenant, normalise(q.filter, r.types), self.needed(q))
 
-    def _covered(self, q: Query) -> DataFrame:
+    def _covered(self, q: Query, split: bool = True) -> DataFrame:
         r = self.resources[q.resource]
         normal = normalise(q.filter, r.types)
         if not normal.opaque and not normal.disjuncts:  # no row can match: any layer will do, and none is scanned
@@ -176,31 +250,41 @@ class Engine:
         entry, reason = self.ledger.covers(q.resource, q.tenant, normal, needed)
         if entry is not None:
             try:
+                r.cache.check()
                 out = self._on(q, r, r.cache)
                 self._event("hit", q, entry=entry.id)
-                self._sample(q, r, out)
-                return out
-            except ConnectionError as e:  # a cache that fails is a cache that misses
+            except FAULTS as e:  # a cache that fails is a cache that misses
                 log.warning("%s: reading the cache failed: %s", r.name, e)
                 reason = "cache_failed"
+                if isinstance(e, FileNotFoundError):  # what it held is gone for good
+                    self.drop_everything(r)
+            else:
+                self._sample(q, r, out)
+                return out
         seen = self.ledger.epoch(q.resource, q.tenant)
-        if q.recordable and not normal.opaque and not q.sort and len(r.primary_key) == 1 and reason != "cache_failed":
-            split = self.ledger.split(q.resource, q.tenant, needed)
-            if split is not None:
-                return self._remainder(q, r, normal, needed, seen, *split)
+        if split and q.recordable and not normal.opaque and not q.sort and len(r.primary_key) == 1 and reason != "cache_failed":
+            parts = self.ledger.split(q.resource, q.tenant, needed)
+            if parts is not None:
+                try:
+                    r.cache.check()
+                    return self._remainder(q, r, normal, needed, seen, *parts)
+                except FileNotFoundError as e:
+                    log.warning("%s: reading the cache failed: %s", r.name, e)
+                    self.drop_everything(r)
+                    seen, reason = self.ledger.epoch(q.resource, q.tenant), "cache_failed"
         return self._miss(q, r, normal, needed, seen, reason)
 
     def _miss(self, q: Query, r: Resource, normal: Normal, needed: frozenset[str], seen, reason: str | None) -> DataFrame:
         self._event("miss", q, reason=reason)
         if not q.recordable or normal.opaque:
             return self._on(q, r, r.source)
-        wide = Query(q.resource, q.filter, tuple(c for c in r.names if c in needed), tenant=q.tenant)
-        fetched = written(self._on(wide, r, r.source), "fetched")  # the source is scanned once: files feed cache and caller
-        self._fill(q, r, fetched, q.filter, normal, needed, seen)
-        skip = frozenset(c for c in q.calculations if not self._local(r, c))
-        if skip:
-            return self._on(q, r, r.source)
-        return compile_query(q, fetched, r.names, r.primary_key, r.calculations)
+        remote = tuple(c for c in q.calculations if not self._local(r, c))
+        names = tuple(c for c in r.names if c in needed)
+        wide = Query(q.resource, q.filter, names, tenant=q.tenant, calculations=remote)
+        fetched = written(self._on(wide, r, r.source), "fetched", one_for_each_key=True)  # the source is scanned once: files feed cache and caller
+        self._fill(q, r, fetched.select(*names) if remote else fetched, q.filter, normal, needed, seen)
+        known = {c: replace(r.calculations[c], sql=f"`{c}`") if c in remote else x for c, x in r.calculations.items()}
+        return compile_query(q, fetched, r.names, r.primary_key, known)
 
     def _remainder(self, q: Query, r: Resource, normal: Normal, needed, seen, held, missing) -> DataFrame:
         """What the cache holds of the query, and only the rest from the source."""
@@ -217,14 +301,11 @@ class Engine:
         if rest is None:
             self._event("hit", q)
             return compile_query(replace(q, filter=None), cached, r.names, r.primary_key, r.calculations)
-        rest = written(rest, "rest")
+        rest = written(rest, "rest", one_for_each_key=True)
         self._event("partial", q)
         self._fill(q, r, rest, q.filter if missing == UNIVERSE else all_of((q.filter, missing)), normal, needed, seen)
         [pk] = r.primary_key
         rows = rest if cached is None else rest.unionByName(cached.join(rest.select(pk), pk, "left_anti"))
-        skip = frozenset(c for c in q.calculations if not self._local(r, c))
-        if skip:
-            return self._on(q, r, r.source)
         return compile_query(replace(q, filter=None), rows, r.names, r.primary_key, r.calculations)
 
     def _fill(self, q: Query, r: Resource, fetched: DataFrame, fetched_filter: Predicate | None, normal: Normal, needed, seen) -> None:
@@ -246,7 +327,7 @@ class Engine:
                 self._event("backfill_aborted", q, reason="epoch_moved")
             else:
                 self._event("backfill", q)
-        except ConnectionError as e:
+        except FAULTS as e:
             log.warning("%s: filling the cache failed: %s", r.name, e)
             self._event("backfill_aborted", q, reason="cache_failed")
 
@@ -278,7 +359,7 @@ class Engine:
         own = tuple(r.relationships[a.relationship].own for a in chosen)
         ordered = tuple(n for n, _ in q.sort)
         base = replace(q, aggregates=(), select=tuple(dict.fromkeys((*shown, *own, *[n for n in ordered if n in r.names]))))
-        values = [(a, r.relationships[a.relationship], self._children(r, a, from_source)) for a in chosen]
+        values = [(a, r.relationships[a.relationship], self._children(r, a, from_source, q.tenant)) for a in chosen]
         rows = rows_of(base)
         for a, link, child in values:
             element = self.resources[link.resource].schema[a.field].dataType if a.field else None
@@ -287,8 +368,11 @@ class Engine:
             rows = rows.orderBy(*_order(q))
         return rows.select(*shown, *[c for c in q.calculations if c not in shown], *q.aggregates)
 
-    def _children(self, r: Resource, a: Aggregate, from_source: bool) -> DataFrame:
-        """Child rows of an aggregate: the child's cache if it surely has them all, else the source; else a loud error."""
+    def _children(self, r: Resource, a: Aggregate, from_source: bool, tenant: str | None) -> DataFrame:
+        """Child rows of an aggregate, of the query's tenant and under the child's own filter.
+
+        From the child's cache if it surely has them all, else from the source; else a loud error.
+        """
         link = r.relationships[a.relationship]
         child = self.resources.get(link.resource)
         if child is None:
@@ -296,29 +380,40 @@ class Engine:
         if not r.can(("aggregate", a.kind)):
             raise AggregateNotSupported(f"{a.name}: neither folding nor joining is allowed")
         fields = tuple(dict.fromkeys((link.foreign, *([a.field] if a.field else []), *[n for n, _ in a.sort])))
-        q = Query(link.resource, a.filter, fields)
+        tenant = tenant if child.tenant_attribute else None
+        self._tenant(child, tenant)
+        q = Query(link.resource, all_of((a.filter, child.base_filter)), fields, tenant=tenant)
+        own = Query(link.resource, child.base_filter, tenant=tenant)
         fold = r.fold_aggregates and a.name not in r.overrides and not from_source
         if fold and child.cache is not None and link.resource not in self.disabled and self.covers(q)[0] is not None:
             self._event("aggregate_fold", q)
-            return compile_query(Query(link.resource, None), child.cache.scan(), child.names, child.primary_key, child.calculations)
+            return self._on(own, child, child.cache)
         if r.join_aggregates and r.source.catalog is not None and r.source.catalog == child.source.catalog:
             self._event("aggregate_join", q)
-            return child.source.scan()
+            return self._on(own, child, child.source)
         if fold and child.strategy != OUTBOX:  # cold: the child's source, without a join inside one catalog
             self._event("aggregate_source", q)
-            return child.source.scan()
+            return self._on(own, child, child.source)
         raise AggregateNotSupported(f"{a.name}: its children can neither be folded nor joined")
 
     def aggregate(self, q: Query, **columns) -> DataFrame:
         """Aggregates of a whole query, always on the read authority."""
-        r = self.resources[q.resource]
-        layer = r.authority if r.strategy == OUTBOX else r.source
+        q = self._checked(q)
+        return self.strategies[q.resource].aggregate(q, columns)
+
+    def whole(self, q: Query, r: Resource, layer: Layer, columns: dict) -> DataFrame:
         return self._on(replace(q, select=None), r, layer).agg(*[c.alias(n) for n, c in columns.items()])
 
-    def join(self, *_, **__):
-        raise Unsupported("joined rows escape the proof; join the DataFrames that read() returns")
+    def join(self, name: str | None = None, other: DataFrame | None = None, on=None, how: str = "inner", tenant: str | None = None) -> DataFrame:
+        """Rows of a local-first resource joined with others; the local layer is all that there is to prove there."""
+        if name is None or self.resources[name].strategy != OUTBOX:
+            raise Unsupported("joined rows escape the proof; join the DataFrames that read() returns")
+        return self.read(Query(name, tenant=tenant)).join(other, on, how)
+
+    def combine(self, *_, **__):
+        raise Unsupported("combined rows escape the proof; combine the DataFrames that read() returns")
 
-    combine = bulk = join
+    bulk = combine
 
     # ------------------------------------------------------------------------------------------ writing
 
@@ -339,11 +434,15 @@ class Engine:
     def _write(self, name: str, op: str, rows: DataFrame, tenant: str | None, condition: str | None = None) -> DataFrame:
         """Authority, then invalidation, then the other layers; returns the written (destroyed) rows as the authority has them."""
         r = self.resources[name]
-        if not r.can(op):
+        if not self.can(name, op):
             raise Unsupported(f"{name} has no {op}")
-        if r.strategy == OUTBOX:
-            return self.outboxes[name].write(op, rows, tenant, condition)
-        before, after = images(r, r.authority, op, rows, condition)
+        self._tenant(r, tenant)
+        with self.locks[name]:  # images are of the version that the write replaces
+            return self.strategies[name].write(op, rows, tenant, condition)
+
+    def write_proven(self, r: Resource, op: str, rows: DataFrame, tenant: str | None, condition: str | None = None) -> DataFrame:
+        name = r.name
+        before, after = images(r, r.authority, op, rows, condition, tenant)
         if op == "destroy":
             r.authority.delete(before)
         else:
@@ -364,17 +463,69 @@ class Engine:
         for n in r.write_order[1:]:
             try:
                 r.layers[n].delete(before) if op == "destroy" else r.layers[n].upsert(after)
+            except NoRollback:
+                raise
             except Exception as e:  # best effort: the entries are dropped already, so a stale copy is never read
                 log.warning("%s: writing layer %s failed: %s", r.name, n, e)
                 self.telemetry.emit("write", "failed_at_layer", resource=r.name, layer=n)
 
+    # ------------------------------------------------------------------------------------------ transactions
+
+    def in_transaction(self, name: str) -> bool:
+        return name in getattr(self.local, "open", ())
+
+    def rollback(self, reason=None) -> None:
+        raise Rollback(reason)
+
+    @contextmanager
+    def transaction(self, *names: str) -> Iterator[Transaction]:
+        """Writes to these resources by this thread are undone together when the block raises.
+
+        Every layer they write is set back to the version that it had: versions are immutable, so nothing is copied. Other
+        writers of the resources wait. ``rollback`` undoes and ends the block without an error; a NoRollback passes and
+        undoes nothing. Inside another transaction of the same resources the outer one decides.
+        """
+        done, opened = Transaction(), getattr(self.local, "open", frozenset())
+        fresh = sorted(set(names) - opened)
+        for n in fresh:
+            if not self.can(n, "transact"):
+                raise Unsupported(f"{n} has no transactions")
+        for n in fresh:
+            self.locks[n].acquire()
+        self.local.open = opened | set(fresh)
+        held = [(x, x.version) for n in fresh for x in self._written_layers(n)]
+        try:
+            yield done
+        except NoRollback:
+            raise
+        except BaseException as e:
+            if not fresh:
+                raise
+            for layer, version in held:
+                layer.restore(version)
+            for n in fresh:
+                self.drop_all(n)
+            done.rolled_back = True
+            if not isinstance(e, Rollback):
+                raise
+            done.reason = e.reason
+        finally:
+            self.local.open = opened
+            for n in reversed(fresh):
+                self.locks[n].release()
+
+    def _written_layers(self, name: str) -> list[Layer]:
+        r = self.resources[name]
+        own = [r.layers[n] for n in dict.fromkeys((*r.write_order, *r.read_order[:-1]))]
+        return [x for x in own if hasattr(x, "restore")] + ([self.outboxes[name].entries] if name in self.outboxes else [])
+
     # ------------------------------------------------------------------------------------------ invalidation
 
     def _swept(self, r: Resource, tenant: str | None) -> list[str | None]:
-        """Partitions that a write of this tenant may touch."""
+        """Partitions that a write of this tenant may touch: rows of all tenants are read only where that is allowed."""
         if tenant is None:
             return sorted({*self.ledger.partitions(r.name), None}, key=str)
-        return [tenant, None]
+        return [tenant, None] if r.tenant_global or not r.tenant_attribute else [tenant]
 
     def invalidate(self, name: str, before: DataFrame | None, after: DataFrame | None, tenant: str | None = None) -> int:
         """Row-aware invalidation: only entries that match an old or a new image of a changed row are dropped."""
@@ -415,6 +566,12 @@ class Engine:
         r = self.resources[name]
         return sum(self.ledger.clear(name, t) for t in self._swept(r, tenant))
 
+    def drop_everything(self, r: Resource) -> None:
+        """The cache lost what it held: no entry stands, and it starts empty."""
+        self.drop_all(r.name)
+        r.cache.restore()
+        self.telemetry.emit("ledger", "cache_lost", resource=r.name)
+
     def forget(self, name: str, keys: DataFrame, tenant: str | None = None) -> int:
         """Something happened to these keys: all but the key is unknown."""
         r = self.resources[name]
@@ -422,13 +579,11 @@ class Engine:
         return self.invalidate(name, keys, None, tenant)
 
     def on_external_change(self, name: str, keys: DataFrame, tenant: str | None = None) -> int:
-        r = self.resources[name]
-        return self.outboxes[name].refresh(keys, tenant) if r.strategy == OUTBOX else self.forget(name, keys, tenant)
+        return self.strategies[name].on_external_change(keys, tenant)
 
     def on_external_gap(self, name: str, tenant: str | None = None) -> int:
         """Changes were lost: nothing is certain any more."""
-        r = self.resources[name]
-        return self.outboxes[name].refresh(None, tenant) if r.strategy == OUTBOX else self.drop_all(name, tenant)
+        return self.strategies[name].on_external_gap(tenant)
 
     # ------------------------------------------------------------------------------------------ looking in
 
@@ -453,13 +608,33 @@ def _order(q: Query):
     return ordering(q.sort)
 
 
-def images(r: Resource, layer: Layer, op: str, rows: DataFrame, condition: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
-    """Old and new images of what a write changes on one layer."""
+class OtherTenant(PermissionError):
+    """A write that would touch rows of another tenant."""
+
+
+def _own_rows(r: Resource, layer: Layer, op: str, rows: DataFrame, tenant: str) -> DataFrame:
+    """The rows of a write with their tenant; refused if they name another one, or replace its rows."""
+    a = r.tenant_attribute
+    if a in rows.columns and rows.where(~F.col(f"`{a}`").eqNullSafe(F.lit(tenant))).limit(1).count():
+        raise OtherTenant(f"{r.name}: rows of another tenant than {tenant!r}")
+    if op in ("create", "upsert"):
+        rows = rows if a in rows.columns else rows.withColumn(a, F.lit(tenant))
+        theirs = layer.scan().where(~F.col(f"`{a}`").eqNullSafe(F.lit(tenant))).select(*r.primary_key)
+        if theirs.join(rows.select(*r.primary_key), list(r.primary_key), "left_semi").limit(1).count():
+            raise OtherTenant(f"{r.name}: keys of another tenant than {tenant!r}")
+    return rows
+
+
+def images(r: Resource, layer: Layer, op: str, rows: DataFrame, condition: str | None = None, tenant: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Old and new images of what a write of this tenant changes on one layer; other tenants' rows are not there for it."""
     keys = list(r.primary_key)
+    scoped = r.tenant_attribute is not None and tenant is not None
+    if scoped:
+        rows = _own_rows(r, layer, op, rows, tenant)
     if op == "create":
         missing = [F.lit(None).cast(r.schema[c].dataType).alias(c) for c in r.names if c not in rows.columns]
         return None, written(rows.select("*", *missing).select(*r.names), "created")
-    old = layer.scan()
+    old = layer.scan().where(F.col(f"`{r.tenant_attribute}`") == F.lit(tenant)) if scoped else layer.scan()
     if op == "destroy":
         return written(old.join(rows.select(*keys).distinct(), keys, "left_semi"), "before"), None
     given = [c for c in rows.columns if c in r.names and c not in keys]

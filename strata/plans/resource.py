@@ -46,7 +46,7 @@ class Resource:
     layers: Mapping[str, Layer]
     read_order: tuple[str, ...]
     write_order: tuple[str, ...] = ()
-    strategy: str = PROVEN
+    strategy: object = PROVEN  # PROVEN, OUTBOX, or a Strategy of one's own: the class, or (class, options)
     relationships: Mapping[str, Relationship] = field(default_factory=dict)
     calculations: Mapping[str, Calculation] = field(default_factory=dict)
     aggregates: Mapping[str, Aggregate] = field(default_factory=dict)
@@ -106,10 +106,12 @@ class Resource:
             need(UPSERT in self.layers[name].capabilities, f"cache layer {name!r} can't be written")
         for name in self.write_order:
             need(UPSERT in self.layers[name].capabilities, f"layer {name!r} can't be written")
-        need(self.strategy in (PROVEN, OUTBOX), f"no strategy {self.strategy!r}")
+        from strata.plans.strategy import chosen
+
+        chosen(self)
         if self.strategy == PROVEN:
             need(not self.write_order or self.read_order[-1] == self.write_order[0], "the last layer read has to be the first one written")
-        else:
+        elif self.strategy == OUTBOX:
             need(len(self.read_order) == 1, "an outbox resource reads one layer")
             need(bool(self.write_order) and self.write_order[0] == self.read_order[0], "an outbox resource reads what it writes first")
             need(bool(self.outbox.targets), "an outbox resource needs a target")
@@ -141,7 +143,7 @@ class Resource:
         if feature in ("select", "lock"):
             return SELECT in self.source.capabilities
         if feature == "transact":
-            return self.authority is not None and TRANSACT in self.authority.capabilities
+            return self.authority is not None and TRANSACT in self.authority.capabilities and hasattr(self.authority, "restore")
         if feature == "multitenancy":
             return all(TENANTS in x.capabilities for x in self.layers.values())
         if feature in ("create", "update", "destroy", "upsert"):

@@ -29,16 +29,45 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors of a cluster need a folder that all share")
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="strata-layers-")
     return _own[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as files in the shared folder, read back: computed once, and safe from lost executors."""
+def written(df: DataFrame, name: str, one_for_each_key: bool = False) -> DataFrame:
+    """``df`` as files in the shared folder, read back: computed once, and safe from lost executors.
+
+    one_for_each_key: its rows are those of a table with a primary key, so a layer may take the files as they are.
+    """
     path = f"{shared_dir(df.sparkSession)}/strata-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to, out.one_for_each_key = path, one_for_each_key
+    return out
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+class LayerError(Exception):
+    """A batch that a layer did not take: which one, and why. The layers before it have it."""
+
+    def __init__(self, layer: str, reason: Exception):
+        super().__init__(f"layer {layer!r}: {reason}")
+        self.layer, self.reason = layer, reason
+
+
+def upsert_in_order(layers: Sequence[Layer], rows: DataFrame, fields: Sequence[str] | None = None) -> None:
+    """One batch for each layer; the first failure ends it."""
+    for x in layers:
+        try:
+            x.upsert(rows, fields)
+        except Exception as e:
+            raise LayerError(x.name, e) from e
 
 
 class Layer:
@@ -50,6 +79,9 @@ class Layer:
     def scan(self) -> DataFrame:
         raise NotImplementedError
 
+    def check(self) -> None:
+        """Raise a FileNotFoundError if what the layer holds is lost."""
+
     @property
     def identifier(self) -> str:
         return f"{self.catalog}.{self.name}" if self.catalog else self.name
@@ -92,13 +124,18 @@ class SnapshotLayer(Layer):
         return self.version == Version()
 
     def _rows(self, v: Version) -> DataFrame:
+        """Rows of the base and the deltas that no later delta has touched: one join with the newest place of each changed key."""
         start = v.base if v.base is not None else self.spark.createDataFrame([], self.schema)
-
-        def over(rows: DataFrame, d: Delta) -> DataFrame:
-            rest = rows.join(d.keys, list(self.keys), "left_anti")
-            return rest if d.rows is None else rest.unionByName(d.rows)
-
-        return reduce(over, v.deltas, start).select(*self.schema.names)
+        if not v.deltas:
+            return start.select(*self.schema.names)
+        at, last = "_at", "_last"
+        changed = [d.keys.select(*self.keys, F.lit(i).alias(last)) for i, d in enumerate(v.deltas, 1)]
+        newest = reduce(DataFrame.unionByName, changed)
+        newest = newest if len(changed) == 1 else newest.groupBy(*self.keys).agg(F.max(last).alias(last))
+        rows = [start.select(*self.schema.names, F.lit(0).alias(at))]
+        rows += [d.rows.select(*self.schema.names, F.lit(i).alias(at)) for i, d in enumerate(v.deltas, 1) if d.rows is not None]
+        joined = reduce(DataFrame.unionByName, rows).join(newest, list(self.keys), "left")
+        return joined.where(F.col(last).isNull() | (F.col(last) == F.col(at))).select(*self.schema.names)
 
     def scan(self) -> DataFrame:
         return self._rows(self.version)
@@ -115,8 +152,20 @@ class SnapshotLayer(Layer):
         rows = written(rows.select(*[F.col(c).cast(self.schema[c].dataType) for c in self.schema.names]), self.name)
         return Delta(rows.select(*self.keys), rows)
 
+    def check(self) -> None:
+        v = self.version
+        for x in (v.base, *(d.rows if d.rows is not None else d.keys for d in v.deltas)):
+            path = getattr(x, "written_to", None)
+            if path is not None and not exists(self.spark, path):
+                raise FileNotFoundError(path)
+
+    def restore(self, version: Version = Version()) -> None:
+        """Set the layer back to a version that it had (without one: empty)."""
+        with self.lock:
+            self.version = version
+
     def gone(self, keys: DataFrame) -> Delta:
-        return Delta(written(keys.select(*self.keys).distinct(), self.name), None)
+        return Delta(written(keys.select(*self.keys).distinct(), self.name), None)  # null keys never match
 
     def publish(self, *deltas: Delta) -> None:
         """Make staged deltas the current version, in one step."""
@@ -127,7 +176,9 @@ class SnapshotLayer(Layer):
             self.version = v
 
     def upsert(self, rows: DataFrame, fields: Sequence[str] | None = None) -> None:
-        self.publish(self.staged(rows, fields))
+        """Whole rows that are written already, one for each key, are taken over as they are."""
+        whole = [(f.name, f.dataType) for f in rows.schema.fields] == [(f.name, f.dataType) for f in self.schema.fields]
+        self.publish(Delta(rows.select(*self.keys), rows) if whole and getattr(rows, "one_for_each_key", False) else self.staged(rows, fields))
 
     def delete(self, keys: DataFrame) -> None:
         """Keys that are not there do no harm."""
@@ -159,6 +210,10 @@ class CountingLayer(Layer):
         self.writes += 1
         self.inner.upsert(rows, fields)
 
+    def check(self) -> None:
+        self._check("scan")
+        self.inner.check()
+
     def delete(self, keys: DataFrame) -> None:
         self._check("delete")
         self.writes += 1

@@ -2,12 +2,13 @@
 
 import pytest
 
-from strata.engine import Engine
+from strata.engine import Engine, NoRollback, OtherTenant
 from strata.functions.predicate import Opaque, attr
 from strata.operators.aggregates import Aggregate, AggregateNotSupported, Relationship
 from strata.operators.query import Calculation, Query
 from strata.plans.outbox import OutboxError, Rejected
 from strata.plans.resource import OUTBOX, ConfigError, OutboxOptions, Resource, Unsupported
+from strata.plans.strategy import Proven, Strategy
 from strata.sources.layers import CountingLayer, ParquetLayer, SnapshotLayer
 
 SCHEMA = "id long, name string, age int"
@@ -202,6 +203,124 @@ def test_config_errors_and_refusals(spark):
     assert [x.old for x in single.read(Q.where(age > 4).load("old").order("id")).collect()] == [False, True]
 
 
+def test_tenants_never_touch_each_other(spark):
+    """Aggregates count the tenant's children, writes see the tenant's rows."""
+    children = spark.createDataFrame([(1, "a", 7), (2, "b", 7), (3, "b", 7), (4, "b", None)], "id long, who string, post int")
+    parents = spark.createDataFrame([(7, "a"), (8, "b")], "id int, who string")
+    store = lambda name, df, pk: {"source": CountingLayer(SnapshotLayer("source", spark, df.schema, (pk,), "db", df)), "cache": CountingLayer(SnapshotLayer("cache", spark, df.schema, (pk,)))}
+    child = Resource("c", children.schema, ("id",), store("c", children, "id"), ("cache", "source"), ("source", "cache"), tenant_attribute="who")
+    n = {"n": Aggregate("n", "count", "c")}
+    parent = Resource("p", parents.schema, ("id",), store("p", parents, "id"), ("cache", "source"), relationships={"c": Relationship("c", "id", "post")}, aggregates=n, tenant_attribute="who")
+    for how in ({}, {"join_aggregates": False}):
+        from dataclasses import replace
+
+        e = Engine(spark, replace(parent, **how), child)
+        assert [x.n for x in e.read(Query("p").for_tenant("a").with_aggregates("n")).collect()] == [1]
+        e.read(Query("c").for_tenant("a"))
+        assert [x.n for x in e.read(Query("p").for_tenant("a").with_aggregates("n")).collect()] == [1]
+    with pytest.raises(Unsupported):
+        e.read(Query("c"))
+    with pytest.raises(AggregateNotSupported):
+        e.read(Query("p").for_tenant("a").order("n"))
+    one = lambda *rows: spark.createDataFrame(list(rows), "id long, post int")
+    e.destroy("c", one((1, 0), (2, 0)), tenant="a")
+    e.update("c", one((3, 9), (4, 9)), tenant="a")
+    assert sorted((x.id, x.post) for x in child.source.scan().collect()) == [(2, 7), (3, 7), (4, None)]
+    with pytest.raises(OtherTenant):
+        e.upsert("c", one((3, 1)), tenant="a")
+    with pytest.raises(OtherTenant):
+        e.create("c", spark.createDataFrame([(9, "b", 1)], children.schema), tenant="a")
+    e.create("c", one((9, 1)), tenant="a")
+    assert [x.who for x in e.read(Query("c").for_tenant("a")).collect()] == ["a"]
+
+
+def test_base_filters_hold_everywhere(spark):
+    from pyspark.sql import functions as F
+
+    e, r = posts(spark, ROWS, base_filter=age > 4)
+    assert e.aggregate(Q, n=F.count(F.lit(1))).first().n == 2 == e.read(Q).count()
+    authors = spark.createDataFrame([("low",), ("mid",)], "name string")
+    layers = {"source": ParquetLayer("source", spark, lambda _: authors, "db")}
+    e.register(Resource("authors", authors.schema, ("name",), layers, ("source",), relationships={"posts": Relationship("posts", "name", "name")}, aggregates={"n": Aggregate("n", "count", "posts")}))
+    assert {x.name: x.n for x in e.read(Query("authors").with_aggregates("n")).collect()} == {"low": 0, "mid": 1}
+
+
+def test_a_cold_calculation_scans_the_source_once(spark):
+    e, r = posts(spark, ROWS, calculations={"old": Calculation("old", "age > 10", source_only=True)})
+    before = r.source.scans
+    assert {x.id: x.old for x in e.read(Q.where(age > 4).load("old")).collect()} == {2: False, 3: True}
+    assert r.source.scans == before + 1 and e.telemetry.kinds()[-2:] == ["miss", "backfill"]
+    assert {x.id: x.old for x in e.read(Q.where(age > 4).load("old")).collect()} == {2: False, 3: True} and e.telemetry.last().kind == "merged"
+
+
+def test_lost_cache_files_are_a_miss(spark):
+    import shutil
+
+    e, r = posts(spark, ROWS)
+    e.read(Q.where(age > 4))
+    shutil.rmtree(r.cache.version.deltas[0].rows.written_to.removeprefix("file:"))
+    assert ids(e.read(Q.where(age > 4))) == [2, 3] and "cache_lost" in e.telemetry.kinds("ledger")
+    assert ids(e.read(Q.where(age > 4))) == [2, 3] and e.telemetry.last().kind == "hit"
+
+
+def test_transactions(spark):
+    e, r = posts(spark, ROWS)
+    e.read(Q)
+    row = lambda i: spark.createDataFrame([(i, "new", i)], SCHEMA)
+    with pytest.raises(ZeroDivisionError), e.transaction("posts"):
+        e.create("posts", row(9))
+        assert e.in_transaction("posts") and 9 in ids(e.read(Q))
+        1 / 0  # noqa: B018
+    assert not e.in_transaction("posts") and ids(e.read(Q)) == ids(r.source.scan()) == [1, 2, 3, 4]
+    with e.transaction("posts") as t:
+        e.create("posts", row(9))
+        with e.transaction("posts"):
+            e.rollback("enough")
+    assert (t.rolled_back, t.reason) == (True, "enough") and ids(e.read(Q)) == [1, 2, 3, 4]
+    with pytest.raises(NoRollback), e.transaction("posts"):
+        e.create("posts", row(9))
+        raise NoRollback("as it is")
+    assert ids(e.read(Q)) == [1, 2, 3, 4, 9]
+
+
+def test_concurrent_writes_and_reads(spark):
+    """Whatever the interleaving: no update is lost, and what the engine answers is what the source holds."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    e, r = posts(spark, ROWS)
+    change = lambda i: e.update("posts", spark.createDataFrame([(1 + i % 3, 100 + i)] if i % 2 else [(1 + i % 3, f"n{i}")], "id long, age int" if i % 2 else "id long, name string"))
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(change, i) for i in range(6)] + [pool.submit(lambda: e.read(Q.where(age > 4)).collect()) for _ in range(4)]
+        [j.result() for j in jobs]
+    assert {(x.id, x.name, x.age) for x in r.source.scan().collect()} == {(x.id, x.name, x.age) for x in e.read(Q).collect()} == {(1, "n0", 103), (2, "n4", 101), (3, "n2", 105), (4, "nilage", None)}
+
+
+def test_strategies_of_ones_own(spark):
+    from dataclasses import replace
+
+    class Loud(Proven):
+        @classmethod
+        def validate(cls, resource, volume=0):
+            if volume > 9:
+                raise ConfigError("too loud")
+
+        def read(self, q):
+            self.heard = self.options["volume"]
+            return super().read(q)
+
+    class Half(Strategy):
+        def read(self, q): ...
+
+    e, r = posts(spark, ROWS)
+    e.register(replace(r, strategy=(Loud, {"volume": 3})))
+    assert ids(e.read(Q.where(age > 4))) == [2, 3] and e.strategies["posts"].heard == 3
+    for bad in (Half, (Loud, {"volume": 10}), "nope", (Proven, {"x": 1})):
+        with pytest.raises(ConfigError):
+            replace(r, strategy=bad).validate()
+    with pytest.raises(ConfigError):
+        e.resolve("nobody")
+
+
 # ------------------------------------------------------------------------------------------------ outbox
 
 
