@@ -11,11 +11,13 @@ import threading
 import time
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
-from strata.sources.layers import SnapshotLayer, written
+from strata.sources.layers import Manifest, SnapshotLayer, upsert_in_order, written
 
 log = logging.getLogger("strata")
 
@@ -27,6 +29,8 @@ SCHEMA = StructType(
     + [StructField(n, TimestampType()) for n in ("parked_at", "inserted_at", "updated_at")]
 )
 PENDING, PARKED, SYNCED = "pending", "parked", "synced"
+#: Slices of one write's keys that are numbered in parallel.
+SLICES = 1024
 TRANSIENT, REJECTED, CONFLICT, AUTH = "transient_exhausted", "rejected", "conflict", "auth"
 
 
@@ -40,7 +44,7 @@ class Forbidden(PermissionError):
 
 class ConflictError(Exception):
     def __init__(self, seqs: list[int]):
-        super().__init__(f"parked entries stand before this write: {seqs}")
+        super().__init__(f"{len(seqs)} parked entries stand before this write: {seqs[:20]}")
         self.seqs = seqs
 
 
@@ -50,20 +54,29 @@ class OutboxError(Exception):
 
 def classify(e: Exception) -> str:
     """Class of a target's error; what is not known is transient."""
-    if isinstance(e, (Rejected, ValueError)):
+    if isinstance(e, (Rejected, ValueError)) and not isinstance(e, (PySparkException, Py4JError)):
         return REJECTED
     if isinstance(e, PermissionError) or getattr(e, "status", None) in (401, 403):
         return AUTH
     return TRANSIENT
 
 
+def merged(a: dict, b: dict) -> dict:
+    """``b`` over ``a``, dictionaries inside them, too."""
+    return {**a, **{k: merged(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}}
+
+
 class Outbox:
     def __init__(self, engine, resource):
         self.engine, self.r, self.o = engine, resource, resource.outbox
         self.spark = engine.spark
         self.entries = SnapshotLayer(f"{resource.name}-outbox", self.spark, SCHEMA, ("seq",))
         self.lock = threading.RLock()
-        self.next_seq, self.is_paused = 1, False
+        self.next_seq, self.is_paused, self.timer = 1, False, None
+        self.last_write_ref = None
+        self.manifest = Manifest(self.spark, self.o.store, {"local": self.local, "entries": self.entries}) if self.o.store else None
+        if self.manifest and self.manifest.open():
+            self.next_seq = (self.entries.scan().agg(F.max("seq")).first()[0] or 0) + 1
 
     @property
     def local(self) -> SnapshotLayer:
@@ -116,10 +129,11 @@ class Outbox:
         if missing or rows.where(" or ".join(f"`{k}` is null" for k in self.r.primary_key)).limit(1).count():
             raise OutboxError("a write needs its whole primary key")
         with self.lock:
-            before, after = images(self.r, self.local, op, rows, condition)
+            before, after = images(self.r, self.local, op, rows, condition, tenant)
             done = before if op == "destroy" else after
             if not done.limit(1).count():  # a skipped upsert, an update of nothing
                 return done
+            self.last_write_ref = None
             if self.o.mode == "write_through":
                 return self._through(op, before, after, tenant)
             self._commit(op, before, after, tenant)
@@ -135,14 +149,27 @@ class Outbox:
         now, nothing = F.current_timestamp(), F.lit(None)
         rows = done.withColumns(
             {
-                # Gaps are allowed: only the order of writes to one key matters, and one write has a key once.
-                "seq": F.monotonically_increasing_id() + self.next_seq,
                 "write_ref": F.lit(uuid.uuid4().hex), "resource": F.lit(self.r.name), "tenant": F.lit(tenant).cast("string"),
                 "op": F.lit(op), "remote_snapshot": nothing.cast("string"), "state": F.lit(PENDING), "error_class": nothing.cast("string"),
                 "last_error": nothing.cast("string"), "attempts": F.lit(0), "parked_at": nothing.cast("timestamp"), "inserted_at": now, "updated_at": now,
             }
         )
-        return written(rows.select(*SCHEMA.names), "entries")
+        return written(self._numbered(rows).select(*SCHEMA.names), "entries")
+
+    def _numbered(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with seq: gapless from next_seq on, by slices of the keys, each ranked in a task of its own."""
+        slices = F.pmod(F.xxhash64("record_pk"), F.lit(SLICES)).cast("int")
+        rows = written(rows.withColumn("_slice", slices), "unnumbered")
+        # One row for each slice: SLICES at most.
+        sizes = {r["_slice"]: r["n"] for r in rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect()}
+        begins, at = {}, self.next_seq
+        for k in sorted(sizes):
+            begins[k], at = at, at + sizes[k]
+        if not begins:
+            return rows.withColumn("seq", F.lit(0).cast("long"))
+        begin = self.spark.createDataFrame(list(begins.items()), "_slice int, _begin long")
+        nth = F.row_number().over(Window.partitionBy("_slice").orderBy("record_pk", "target"))
+        return rows.join(F.broadcast(begin), "_slice").withColumn("seq", F.col("_begin") + nth - 1)
 
     def _commit(self, op, before, after, tenant, drop: DataFrame | None = None) -> DataFrame:
         """Local rows and entries are staged first; publishing them is two assignments under one lock."""
@@ -150,19 +177,44 @@ class Outbox:
         change = self.local.gone(before) if op == "destroy" else self.local.staged(after)
         entry = self.entries.staged(rows)
         top = rows.agg(F.max("seq")).first()[0]
+        gone = [self.entries.gone(drop)] if drop is not None else []
         with self.local.lock, self.entries.lock:
+            was = self.local.version, self.entries.version
             self.local.publish(change)
-            self.entries.publish(entry, *([self.entries.gone(drop)] if drop is not None else []))
+            self.entries.publish(entry, *gone)
+            try:
+                self._save()  # the manifest swap is the commit; before it nothing has happened
+            except Exception:
+                self.local.restore(was[0])
+                self.entries.restore(was[1])
+                raise
         self.next_seq = (top or self.next_seq) + 1
+        self.last_write_ref = rows.select("write_ref").first()[0]
+        self.kick()
         return rows
 
+    def _save(self) -> None:
+        if self.manifest:
+            self.manifest.save()
+
+    def kick(self) -> None:
+        """Ask for a push; ``on_enqueue`` is whatever runs flush() elsewhere. If it fails, entries stay pending for the sweep."""
+        if self.o.on_enqueue is not None:
+            try:
+                self.o.on_enqueue(self)
+            except Exception as e:
+                log.warning("%s: asking for a push failed: %s", self.r.name, e)
+
     def _through(self, op, before, after, tenant) -> DataFrame:
         """Older entries of these keys first, then all targets, then the local layer; no entry unless that last step fails."""
         done = before if op == "destroy" else after
         self._drain(done.select(self._pk().alias("record_pk")))
-        for t in self.o.targets:
-            target = self.r.layers[t]
-            target.delete(before) if op == "destroy" else target.upsert(after)
+        targets = [self._target(t) for t in self.o.targets]
+        if op == "destroy":
+            for target in targets:
+                target.delete(before)
+        else:
+            upsert_in_order(targets, after)
         try:
             self.local.delete(before) if op == "destroy" else self.local.upsert(after)
         except Exception as e:
@@ -171,22 +223,31 @@ class Outbox:
             self.entries.upsert(rows)
             self._mark(rows, PARKED, CONFLICT, f"targets have it, the local layer has not: {e}")
             raise
+        self._save()
         return done
 
+    def _target(self, name: str):
+        """A target, told what the application wants it to know (credentials, a trace)."""
+        target, more = self.r.layers[name], self.o.remote_context
+        if more is not None and hasattr(target, "configure"):
+            target.configure(merged(getattr(target, "context", None) or {}, more(name) if callable(more) else more))
+        return target
+
     def _drain(self, keys: DataFrame) -> None:
         self.flush(only=keys, forget=True)
-        stuck = self._unsynced().join(keys, "record_pk", "left_semi").select("seq").limit(100).collect()
+        stuck = self._unsynced().join(keys, "record_pk", "left_semi").agg(F.collect_list("seq")).first()[0]  # of this write's keys
         if stuck:
-            raise ConflictError(sorted(r.seq for r in stuck))
+            raise ConflictError(sorted(stuck))
 
     # ------------------------------------------------------------------------------------------ pushing
 
-    def flush(self, only: DataFrame | None = None, forget: bool = False, rounds: int = 1000) -> int:
-        """Push heads, round by round, until nothing moves; returns how many rounds moved something."""
+    def flush(self, only: DataFrame | None = None, forget: bool = False) -> int:
+        """Push heads, round by round, until nothing moves; returns how many rounds moved something.
+
+        An entry behind a pending one waits for the next round; that costs it no attempt.
+        """
         moved = 0
-        for _ in range(rounds):
-            if self.is_paused and only is None:
-                break
+        while not (self.is_paused and only is None):
             heads = self.heads().where(F.col("position") == "head").where(F.col("state") == PENDING).drop("position")
             if only is not None:
                 heads = heads.join(only, "record_pk", "left_semi")
@@ -198,23 +259,50 @@ class Outbox:
             if not any(pushed):
                 break
             moved += 1
+            self._save()
+        self._save()
         return moved
 
     def _push(self, name: str, heads: DataFrame, forget: bool) -> bool:
-        target = self.r.layers[name]
+        target = self._target(name)
         try:
             heads, conflicts = self._stale(target, heads)
             if conflicts is not None and conflicts.limit(1).count():
                 self._mark(conflicts, PARKED, CONFLICT, "the target has changed since")
             # Entries that were resolved meanwhile are gone from the table: nothing of them is pushed.
-            heads = heads.join(self.entries.scan().where(F.col("state") == PENDING).select("seq"), "seq", "left_semi").select(*SCHEMA.names)
-            self._apply(target, heads)
+            heads = written(heads.join(self.entries.scan().where(F.col("state") == PENDING).select("seq"), "seq", "left_semi").select(*SCHEMA.names), "pushing")
         except Exception as e:
             return self._failed(heads, e)
+        return self._each(target, heads, heads.count(), forget)
+
+    def _each(self, target, heads: DataFrame, n: int, forget: bool) -> bool:
+        """Push a batch. If the target refuses it, its halves, so that a refused row parks itself alone.
+
+        Entries of a batch have different keys, so their order does not matter. k refused rows of n cost about
+        k * log2(n) batches; an error that is not about the data is one for the whole batch.
+        """
+        if not n:
+            return False
+        try:
+            self._apply(target, heads)
+        except Exception as e:
+            if n == 1 or classify(e) == TRANSIENT:
+                return self._failed(heads, e)
+            middle = heads.orderBy("seq").offset(n // 2).first().seq
+            below, above = heads.where(F.col("seq") < middle), heads.where(F.col("seq") >= middle)
+            return bool(sum([self._each(target, below, n // 2, forget), self._each(target, above, n - n // 2, forget)]))
         self.entries.delete(heads) if forget else self._mark(heads, SYNCED)
         return True
 
     def _apply(self, target, heads: DataFrame) -> None:
+        """Upsert or delete by key; a target that keeps tenants apart is told whose rows they are."""
+        if hasattr(target, "for_tenant"):
+            for t in [r.tenant for r in heads.select("tenant").distinct().collect()]:
+                self._send(target.for_tenant(t), heads.where(F.col("tenant").eqNullSafe(F.lit(t))))
+        else:
+            self._send(target, heads)
+
+    def _send(self, target, heads: DataFrame) -> None:
         kept, gone = heads.where(F.col("op") != "destroy"), heads.where(F.col("op") == "destroy")
         if kept.limit(1).count():
             target.upsert(self._rows(kept))
@@ -254,6 +342,25 @@ class Outbox:
         self.entries.delete(self.entries.scan().where((F.col("state") == SYNCED) & (F.col("updated_at") < old)))
         return self.flush()
 
+    def every(self, seconds: float = 60.0) -> None:
+        """Sweep now and then until stop(); a sweep that fails is logged, the next one comes all the same."""
+        self.stop()
+        self.timer = done = threading.Event()
+
+        def run() -> None:
+            while not done.wait(seconds):
+                try:
+                    self.sweep()
+                except Exception as e:
+                    log.warning("%s: a sweep failed: %s", self.r.name, e)
+
+        threading.Thread(target=run, name=f"strata-sweep-{self.r.name}", daemon=True).start()
+
+    def stop(self) -> None:
+        if self.timer is not None:
+            self.timer.set()
+            self.timer = None
+
     # ------------------------------------------------------------------------------------------ looking and waiting
 
     def in_state(self, state: str, tenant: str | None = None, after: int = 0, limit: int | None = None) -> DataFrame:
@@ -329,6 +436,7 @@ class Outbox:
             if row is None:
                 return 0
             self.entries.delete(self._chain(row) if row.op == "create" else self._entry(seq))
+            self._save()
         return self.flush()
 
     def discard_local(self, seq: int) -> int:
@@ -350,7 +458,7 @@ class Outbox:
             row = self._head(seq)
             if row is None:
                 return 0
-            self._apply(self.r.layers[row.target], self._entry(seq))
+            self._apply(self._target(row.target), self._entry(seq))
             self.entries.delete(self._entry(seq))
         return self.flush()
 
@@ -365,7 +473,7 @@ class Outbox:
             chain = written(self._chain(row).select("seq"), "chain")
             keys = self._keys(self._entry(seq))
             theirs = self.r.layers[row.target].scan().join(keys, list(self.r.primary_key), "left_semi").select(*self.r.names)
-            before, after = images(self.r, self.local, "update", changes)
+            before, after = images(self.r, self.local, "update", changes, None, tenant)
             theirs = written(theirs, "theirs")
             try:
                 self._commit("update", theirs if theirs.limit(1).count() else before, after, tenant, drop=chain)
@@ -398,6 +506,7 @@ class Outbox:
             counts = {"refreshed": clean.count(), "deleted": lost.count(), "skipped_dirty": theirs.join(dirty, pk, "left_semi").count()}
             change = [self.local.staged(clean)] + ([self.local.gone(lost)] if counts["deleted"] else [])
             self.local.publish(*change)
+            self._save()
         return counts
 
     def hydrate(self, tenant: str | None = None) -> dict[str, int]:
@@ -406,7 +515,9 @@ class Outbox:
         return self.refresh(None, tenant)
 
     def boot(self) -> None:
-        if self.o.hydrate == "manual":
+        if self.o.sweep_seconds:
+            self.every(self.o.sweep_seconds)
+        if self.o.hydrate == "manual" or (self.o.hydrate == "on_start" and self.manifest and not self.local.is_empty):
             return
         try:
             self.refresh() if self.o.hydrate == "on_start" else self.hydrate()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -13,7 +13,7 @@ from strata.functions.normal import normalise
 from strata.functions.predicate import Predicate
 from strata.operators.aggregates import KINDS, Aggregate, Relationship
 from strata.operators.query import Calculation
-from strata.sources.layers import EXPRESSIONS, READ, SELECT, TENANTS, TRANSACT, UPSERT, Layer
+from strata.sources.layers import EXPRESSIONS, READ, SELECT, TENANTS, TRANSACT, UPSERT, Layer, SnapshotLayer
 
 PROVEN, OUTBOX = "proven", "outbox"
 
@@ -36,6 +36,11 @@ class OutboxOptions:
     mode: str = "async"  # async, write_through
     max_attempts: int = 10
     keep_days: int = 7
+    #: A folder that outlives the process: local rows and entries are committed there together, and opened again from it.
+    store: str | None = None
+    sweep_seconds: float | None = None
+    on_enqueue: Callable | None = None  # called with the outbox after each write
+    remote_context: Mapping | Callable | None = None  # for targets with configure(): a mapping, or a function of their name
 
 
 @dataclass(frozen=True)
@@ -118,6 +123,8 @@ class Resource:
             need(all(t in self.layers for t in self.outbox.targets), "a target is not declared")
             need(self.outbox.hydrate in ("manual", "on_start", "if_empty"), "no such hydrate mode")
             need(self.outbox.mode in ("async", "write_through"), "no such write mode")
+            need(isinstance(self.authority, SnapshotLayer), "entries can only be committed together with rows of a snapshot layer")
+            need(not any(self.layers[t] is self.authority for t in self.outbox.targets), "the local layer is no target")
             need(self.outbox.stale_field is None or self.outbox.stale_field in self.names, "the stale field is not in the schema")
         if self.tenant_attribute:
             need(self.tenant_attribute in self.names, "the tenant attribute is not in the schema")

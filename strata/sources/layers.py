@@ -7,6 +7,7 @@ that it was planned on; after ``MOST_DELTAS`` deltas the next write compacts the
 
 from __future__ import annotations
 
+import json
 import tempfile
 import threading
 import uuid
@@ -186,6 +187,71 @@ class SnapshotLayer(Layer):
             self.publish(self.gone(keys))
 
 
+class Manifest:
+    """Versions of several snapshot layers, committed together: one small JSON file that is put in place by renaming.
+
+    Files are numbered; the highest one counts. The data files that it names have to be below a folder that outlives the
+    process, as ``root`` has. Of two processes that commit the same number the second one fails.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, layers: dict[str, SnapshotLayer]):
+        self.spark, self.root, self.layers, self.number, self.saved = spark, root.rstrip("/"), layers, 0, None
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.files = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _stored(self, df: DataFrame | None) -> str | None:
+        """A path for these rows; rows that are not files yet (a seed) are written now."""
+        if df is None:
+            return None
+        if not getattr(df, "written_to", None):
+            df.written_to = f"{self.root}/rows-{uuid.uuid4().hex}"
+            df.write.parquet(df.written_to)
+        return df.written_to
+
+    def save(self) -> None:
+        now = {n: x.version for n, x in self.layers.items()}
+        if now == self.saved:
+            return
+        said = {
+            n: {"base": self._stored(v.base), "deltas": [{"rows": self._stored(d.rows), "keys": None if d.rows is not None else self._stored(d.keys)} for d in v.deltas]}
+            for n, v in now.items()
+        }
+        self.files.mkdirs(self.path(self.root))
+        name = f"{self.root}/version-{self.number + 1:012d}.json"
+        temporary = self.path(f"{self.root}/.{uuid.uuid4().hex}")
+        out = self.files.create(temporary, False)
+        out.write(bytearray(json.dumps(said).encode()))
+        out.close()
+        if self.files.exists(self.path(name)) or not self.files.rename(temporary, self.path(name)):
+            self.files.delete(temporary, False)
+            raise RuntimeError(f"{name} is there already: another process writes here")
+        self.number, self.saved = self.number + 1, now
+
+    def open(self) -> bool:
+        """Set the layers to the last committed versions; False if there are none."""
+        found = self.files.globStatus(self.path(f"{self.root}/version-*.json")) or []
+        names = sorted(x.getPath().toString() for x in found)
+        if not names:
+            return False
+        text = self.spark.sparkContext.wholeTextFiles(names[-1]).first()[1]
+        self.number = int(names[-1].rsplit("-", 1)[1].split(".")[0])
+        for n, v in json.loads(text).items():
+            layer = self.layers[n]
+
+            def rows(path: str | None, schema: StructType = layer.schema) -> DataFrame | None:
+                if path is None:
+                    return None
+                df = self.spark.read.schema(schema).parquet(path)
+                df.written_to = path
+                return df
+
+            keys = StructType([layer.schema[k] for k in layer.keys])
+            deltas = [(rows(d["rows"]), rows(d["keys"], keys)) for d in v["deltas"]]
+            layer.restore(Version(rows(v["base"]), tuple(Delta(k if r is None else r.select(*layer.keys), r) for r, k in deltas)))
+        self.saved = {n: x.version for n, x in self.layers.items()}
+        return True
+
+
 class CountingLayer(Layer):
     """Counts scans and writes of another layer: how often a source was asked is what tests are about."""
 

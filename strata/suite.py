@@ -18,7 +18,7 @@ from strata.functions.normal import complement, implies, normalise, region
 from strata.functions.predicate import Opaque, attr, to_column
 from strata.operators.aggregates import Aggregate, Relationship
 from strata.operators.query import Calculation, Query
-from strata.plans.outbox import CONFLICT, PARKED, Outbox
+from strata.plans.outbox import CONFLICT, PARKED, Outbox, Rejected
 from strata.plans.resource import OUTBOX, OutboxOptions, Resource
 from strata.sources.layers import CountingLayer, ParquetLayer, SnapshotLayer
 
@@ -235,6 +235,13 @@ def read_local_calc(spark, sf_dir):
     return warmed(spark, sf_dir, price > 200000.0, Q.where(price > 200000.0).load("is_big"), "local", "hit", calculations={"is_big": BIG})
 
 
+@query("select *, o_totalprice >= 300000 as is_big from orders where o_totalprice > 200000")
+def read_cold_source_calc(spark, sf_dir):
+    q = Q.where(price > 200000.0).load("is_big")
+    big = Calculation("is_big", BIG.sql, source_only=True)
+    return warmed(spark, sf_dir, price > 490000.0, q, "miss", "backfill", source_scans=1, calculations={"is_big": big})
+
+
 @query("select *, o_totalprice >= 300000 as is_big from orders where o_totalprice > 200000")
 def read_merged_calc(spark, sf_dir):
     q = Q.where(price > 200000.0).load("is_big")
@@ -376,6 +383,29 @@ def agg_top_level(spark, sf_dir):
     return e.aggregate(Q.where(status == "O"), n=F.count(F.lit(1)), top=F.max("o_totalprice"))
 
 
+@query(_COUNTS.format("where o_orderpriority = '1-URGENT'"))
+def agg_tenant_count(spark, sf_dir):
+    """Children of the query's tenant alone, from the child's cache and from its source."""
+    a = Aggregate("n_orders", "count", "orders")
+    links = {"orders": Relationship("orders", "c_custkey", "o_custkey")}
+    parent = customers(spark, sf_dir, relationships=links, aggregates={a.name: a}, join_aggregates=False)
+    e = Engine(spark, parent, cached(spark, "orders", table(spark, sf_dir, "orders"), ("o_orderkey",), tenant_attribute="o_orderpriority"))
+    q = Query("customer", tenant="1-URGENT").fields("c_custkey").with_aggregates("n_orders")
+    cold = e.read(q)
+    went(e, "aggregate_source")
+    e.read(Query("orders", tenant="1-URGENT"))
+    warm = e.read(q)
+    went(e, "aggregate_fold")
+    check(cold.exceptAll(warm).count() == 0, "cache and source differ")
+    return warm
+
+
+@query("select count(*) as n, max(o_totalprice) as top from orders where o_orderstatus = 'O' and o_totalprice < 300000")
+def agg_top_level_base_filter(spark, sf_dir):
+    e, _ = orders(spark, sf_dir, base_filter=price < 300000.0)
+    return e.aggregate(Q.where(status == "O"), n=F.count(F.lit(1)), top=F.max("o_totalprice"))
+
+
 # ------------------------------------------------------------------------------------------------ writes
 
 
@@ -540,6 +570,25 @@ def tenant_global_sweep(spark, sf_dir):
     return spark.createDataFrame(rows, "tenant string, entries int")
 
 
+@query("select * from (values ('1-URGENT', 0), ('2-HIGH', 1)) t(tenant, entries)")
+def tenant_local_sweep(spark, sf_dir):
+    """Where no read spans tenants, a tenant's write sweeps its own partition only."""
+    e, r = orders(spark, sf_dir, writable=True, tenant_attribute="o_orderpriority")
+    q = Q.where(price > 200000.0)
+    for t in ("1-URGENT", "2-HIGH"):
+        e.read(q.for_tenant(t))
+    e.destroy("orders", r.source.scan().select("o_orderkey"), tenant="1-URGENT")
+    return spark.createDataFrame([(t, len(e.ledger.entries("orders", t))) for t in ("1-URGENT", "2-HIGH")], "tenant string, entries int")
+
+
+@query("select * from orders where not (o_orderkey % 3 = 0 and o_orderpriority = '1-URGENT')")
+def write_tenant_scope(spark, sf_dir):
+    """Keys of all tenants are given; only the rows of the write's tenant go."""
+    e, r = orders(spark, sf_dir, writable=True, tenant_attribute="o_orderpriority")
+    e.destroy("orders", r.source.scan().where("o_orderkey % 3 = 0").select("o_orderkey"), tenant="1-URGENT")
+    return r.source.scan()
+
+
 @query("select * from (values ('a', true), ('b', false), ('c', true), ('d', true)) t(name, covered)")
 def ledger_lru(spark, sf_dir):
     e, r = orders(spark, sf_dir, ledger_cap=3)
@@ -713,6 +762,46 @@ def outbox_write_through(spark, sf_dir):
     return r.layers["remote"].scan()
 
 
+class Picky(CountingLayer):
+    """A target that finds negative prices invalid, and says so of the batch as a whole."""
+
+    def upsert(self, rows: DataFrame, fields=None) -> None:
+        if rows.where("o_totalprice < 0").limit(1).count():
+            raise Rejected("a price is negative")
+        super().upsert(rows, fields)
+
+
+@query(f"select o_orderkey, case when o_orderkey = 20 then 'parked' else 'synced' end as status from {_ALL} and o_orderkey % 5 = 0")
+def outbox_one_rejected_row(spark, sf_dir):
+    e, r, box = boxed(spark, sf_dir)
+    r.layers["remote"] = Picky(r.layers["remote"].inner)
+    e.update("orders", _set(r, "o_orderkey % 5 = 0", o_totalprice=5.0).withColumn("o_totalprice", F.expr("if(o_orderkey = 20, -1.0d, 5.0d)")))
+    box.flush()
+    check([x.error_class for x in box.parked().collect()] == ["rejected"], "one row is invalid")
+    return box.statuses().select(F.get_json_object("record_pk", "$.o_orderkey").cast("long").alias("o_orderkey"), "status")
+
+
+@query(_SET.format(status="o_orderstatus", price="case when o_orderkey % 10 = 0 then 7.0 when o_orderkey % 5 = 0 then 5.0 else o_totalprice end"))
+def outbox_restart_resumes(spark, sf_dir):
+    """Local rows and entries are opened again from the manifest by a process that knows nothing else."""
+    import uuid
+
+    from strata.sources.layers import shared_dir
+
+    store = f"{shared_dir(spark)}/strata-outbox-{uuid.uuid4().hex}"
+    e, r, _ = boxed(spark, sf_dir, store=store)
+    e.update("orders", _set(r, "o_orderkey % 5 = 0", o_totalprice=5.0))
+    df = r.layers["local"].scan()
+    layers = {"local": SnapshotLayer("local", spark, df.schema, ("o_orderkey",), "files"), "remote": r.layers["remote"]}
+    again = Resource("orders", df.schema, ("o_orderkey",), layers, ("local",), ("local",), OUTBOX, outbox=OutboxOptions(targets=("remote",), store=store))
+    after = Engine(spark, again)
+    check(after.outbox("orders").pending().count() > 0, "the entries are lost")
+    after.update("orders", _set(again, "o_orderkey % 10 = 0", o_totalprice=7.0))
+    check(after.outbox("orders").flush() == 2, "two links of the longest chain")
+    check(Engine.divergence(layers["local"].scan(), layers["remote"].scan(), again.primary_key).count() == 0, "not converged")
+    return layers["remote"].scan()
+
+
 # ------------------------------------------------------------------------------------------------ proofs as tables
 
 

@@ -380,3 +380,47 @@ def test_pause_dirty_rows_and_hydration(spark):
     assert box.wait('{"id":1}') == "synced"
     with pytest.raises(OutboxError):
         e.create("posts", spark.createDataFrame([(None, "x", 1)], SCHEMA))
+
+
+def test_sequence_numbers_have_no_gaps_and_follow_writes(spark):
+    e, r, box = boxed(spark)
+    for _ in range(2):
+        e.update("posts", spark.createDataFrame([(i, 50) for i in (1, 2, 3)], "id long, age int").repartition(3))
+    seqs = [(x.seq, x.record_pk) for x in box.pending().collect()]
+    assert [s for s, _ in seqs] == [1, 2, 3, 4, 5, 6] and {k for _, k in seqs[:3]} == {k for _, k in seqs[3:]}
+    assert box.last_write_ref == box.pending().collect()[-1].write_ref
+
+
+def test_sweeps_come_by_themselves_and_pushes_are_asked_for(spark):
+    import time
+
+    asked = []
+    e, r, box = boxed(spark, sweep_seconds=0.2, on_enqueue=lambda b: (asked.append(b), 1 / 0))
+    e.update("posts", spark.createDataFrame([(1, 50)], "id long, age int"))
+    assert asked == [box] and box.status('{"id":1}') == "pending"
+    e.start()
+    end = time.monotonic() + 60
+    while box.status('{"id":1}') != "synced" and time.monotonic() < end:
+        time.sleep(0.5)
+    e.stop()
+    assert box.status('{"id":1}') == "synced"
+
+
+def test_two_processes_never_commit_the_same_version(spark, tmp_path):
+    a, b = (boxed(spark, store=f"file://{tmp_path}/box") for _ in range(2))
+    row = spark.createDataFrame([(1, 50)], "id long, age int")
+    a[0].update("posts", row)
+    with pytest.raises(RuntimeError):
+        b[0].update("posts", row)
+    assert b[2].entries.is_empty and {x.age for x in b[0].read(Q.where(attr("id") == 1)).collect()} == {3}
+
+
+def test_targets_are_told_their_context(spark):
+    e, r, box = boxed(spark, remote_context=lambda name: {"auth": {"token": name}})
+    far = r.layers["far"].inner
+    far.context, far.configure = {"auth": {"user": "u"}, "x": 1}, lambda c: setattr(far, "told", c)
+    e.update("posts", spark.createDataFrame([(1, 50)], "id long, age int"))
+    box.flush()
+    assert far.told == {"auth": {"user": "u", "token": "far"}, "x": 1}
+    assert box.last_write_ref and e.join("posts", spark.createDataFrame([(1,)], "id long"), "id").count() == 1
+    assert [x.age for x in e.point("posts", "far", {"id": 1}).collect()] == [50]
