@@ -17,10 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import textops
+from strata.llm.storage import materialise
+from strata.llm.textops import unused
 
 WINDOW = 13
 #: Benchmark text bytes whose tables are sent to the tasks at once; a larger benchmark is searched in several blocks.
 BLOCK_BYTES = 8 << 20
+#: Blocks that are searched in one stage; then what was found is written, and their tables are let go.
+PASS_BLOCKS = 4
 #: Words of a document that one cursor searches.
 LANE = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -159,27 +163,28 @@ def find_benchmark(
     no words and no windows. Columns of ``docs`` with the new columns' names are replaced. Repeated rows are judged each;
     an empty table gives no rows, an empty benchmark no hits.
 
-    The benchmark is cut into blocks of about ``block_bytes``; the documents pass through one search for each block, in
-    the same stage, without a shuffle.
+    The benchmark is cut into blocks of about ``block_bytes``, whose tables are built once and broadcast; the documents
+    pass through one search for each block, without a shuffle. After each ``PASS_BLOCKS`` blocks they are written with
+    what was found, so no stage holds the tables of more than that.
     """
     spark = docs.sparkSession
     bench = benchmark.selectExpr("cast(item_id as string) item_id", "cast(text as string) text")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    bench = bench.withColumn("_block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
+    bench = bench.withColumn("_block", F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)))
     keep = [c for c in keep or docs.columns if c not in _FOUND]
     carried = [f for f in docs.schema.fields if f.name in {*keep, "text"}]
+    spans_name, items_name = unused(docs.columns, "spans", "items")
     out = docs.select(*[F.col(f"`{f.name}`") for f in carried])
-    out = out.withColumns({"_spans": F.lit(b""), "_items": F.array().cast("array<string>")})
+    out = out.withColumns({spans_name: F.lit(b""), items_name: F.array().cast("array<string>")})
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried if f.name in keep)
     last_schema = f"{ddl}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
     def searcher(shared, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            patterns = _windows(shared.value, window)
             for batch in textops.pieces(batches, "text"):
                 column = dict(zip(batch.schema.names, batch.columns))
-                n, spans, items = _search_batch(column["text"], patterns, column["_spans"].to_pylist(), column["_items"].to_pylist())
+                n, spans, items = _search_batch(column["text"], shared.value, column[spans_name].to_pylist(), column[items_name].to_pylist())
                 if last:
                     hit = np.array([int((x[:, 1] - x[:, 0]).sum()) for x in (np.frombuffer(s, np.int64).reshape(-1, 2) for s in spans)], np.int64)
                     sha = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
@@ -191,7 +196,7 @@ def find_benchmark(
                         "contaminated": pa.array((hit > 0) & (20 * hit >= n)),
                     }
                 else:
-                    column |= {"_spans": pa.array(spans, pa.binary()), "_items": pa.array(items, pa.list_(pa.string()))}
+                    column |= {spans_name: pa.array(spans, pa.binary()), items_name: pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays(list(column.values()), list(column))
 
         return run
@@ -199,7 +204,10 @@ def find_benchmark(
     for b in range(blocks):
         rows = [tuple(r) for r in bench.where(F.col("_block") == b).select("item_id", "text").collect()]
         last = b == blocks - 1
-        out = out.mapInArrow(searcher(spark.sparkContext.broadcast(rows), last), last_schema if last else out.schema)
+        patterns = spark.sparkContext.broadcast(_windows(rows, window))
+        out = out.mapInArrow(searcher(patterns, last), last_schema if last else out.schema)
+        if not last and (b + 1) % PASS_BLOCKS == 0:
+            out = materialise(out, "spans")
     return out
 
 
