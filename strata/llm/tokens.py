@@ -24,12 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import textops
+from strata.llm.ranks import running_total
 from strata.llm.storage import materialise, scratch
 
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 END_ID = 2
 #: Text bytes that go to one file, about.
 FILE_BYTES = 32 << 20
+#: Ranges of documents, at most, and rows that are sampled for the bounds of each: so many pairs reach the driver.
+MOST_RANGES, PER_RANGE = 20_000, 100
 #: Pieces of text whose ids a worker keeps.
 CACHE = 600_000
 
@@ -169,34 +172,51 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 def write_tokens(docs: DataFrame, out: str, tokenizer_file: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write every document's ids, each ended by ``end_id``, to files below the URI ``out``; returns their manifest.
 
-    Manifest (a written table): part int (ascending with doc_id), path, n_docs, n_tokens. Null texts are empty (the end
-    id alone), null doc_ids come first; rows of one doc_id stand by checksum, so the files do not depend on how the
-    input was dealt. An empty table gives no file. Other columns are ignored. A task that runs again writes the same
-    file again under a name of its own and puts it in place by renaming.
+    Manifest (a written table): part and file (ascending with doc_id), path, n_docs, n_tokens. Null texts are empty (the
+    end id alone), null doc_ids come first; rows of one doc_id stand by the hash of their text, so the order does not
+    depend on how the input was dealt. An empty table gives no file. Other columns are ignored. A task that runs again
+    writes the same files again under names of its own and puts them in place by renaming.
+
+    Documents are dealt to ranges of (doc_id, hash of the text), whose bounds come from a sample of bounded size; a range is
+    cut into files by bytes. So many rows of one doc_id, or without one, are spread over ranges and files like any others.
     """
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text")
-    size, n = rows.agg(F.sum(F.octet_length("text") + 16), F.count("doc_id")).first()
-    parts = max(1, -(-(size or 0) // file_bytes))
-    shares = [i / parts for i in range(1, parts)]
-    cuts = rows.agg(F.percentile_approx("doc_id", shares, 100 * parts)).first()[0] if shares and n else []
-    cuts = sorted(set(cuts))
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text").withColumn("x", F.xxhash64("text"))
+    size, n = rows.agg(F.sum(F.octet_length("text") + 16), F.count(F.lit(1))).first()
+    parts = min(MOST_RANGES, max(1, -(-(size or 0) // file_bytes)))
+    least = -(1 << 63)
+    cuts = np.zeros((0, 2), np.int64)
+    if parts > 1:
+        keys = rows.select(F.coalesce("doc_id", F.lit(least)).alias("d"), "x")
+        share = min(1.0, PER_RANGE * parts / n)
+        keys = (keys.sample(share, 7) if share < 1 else keys).toPandas().to_numpy(np.int64)
+        keys = keys[np.lexsort((keys[:, 1], keys[:, 0]))]
+        cuts = keys[np.arange(1, parts) * len(keys) // parts] if len(keys) else cuts
+
+    def part_of(d: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """How many cuts stand before or at each (d, x)."""
+        both = np.r_[cuts, np.stack([d, x], 1)]
+        order = np.lexsort((np.arange(len(both)) >= len(cuts), both[:, 1], both[:, 0]))
+        out = np.empty(len(both), np.int32)
+        out[order] = np.cumsum(order < len(cuts))
+        return out[len(cuts) :]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, press = Encoder.of(tokenizer_file), zstandard.ZstdCompressor(level=3, write_checksum=False)
         end = struct.pack("<I", end_id)
         for batch in textops.pieces(batches, "text"):
             ids = batch.column("doc_id")
-            part = np.searchsorted(np.array(cuts, np.int64), pc.fill_null(ids, -(1 << 63)).to_numpy(), "right")
+            part = part_of(pc.fill_null(ids, least).to_numpy(), batch.column("x").to_numpy())
             raw = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(part, pa.int32()),
+                    pa.array(part),
                     ids,
+                    batch.column("x"),
                     pa.array([len(x) for x in raw], pa.int64()),
                     pa.array([xxhash.xxh64_intdigest(x) & 0xFFFFFFFF for x in raw], pa.int64()),
                     pa.array([press.compress(x) for x in raw], pa.binary()),
                 ],
-                ["part", "doc_id", "size", "checksum", "frame"],
+                ["part", "doc_id", "x", "size", "checksum", "frame"],
             )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,32 +225,35 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_file: str, end_id: int = E
 
         def frames() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(5)))
+                yield from zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "size", "checksum", "frame")))
 
-        def close(part: int, held: list[tuple]) -> tuple:
-            path = f"part-{part:06d}.tok.zst"
+        def close(part: int, file: int, held: list[tuple]) -> tuple:
+            path = f"part-{part:06d}-{file:06d}.tok.zst"
             temporary = f"{root}/.{path}-{uuid.uuid4().hex}"
             with files.open_output_stream(temporary) as f:
                 for piece in pack((d, frame, size, check) for _, d, size, check, frame in held):
                     f.write(piece)
             files.move(temporary, f"{root}/{path}")
-            return part, path, len(held), sum(h[2] for h in held) // 4
+            return part, file, path, len(held), sum(h[2] for h in held) // 4
 
-        made, held = [], []
+        made, held, total, file = [], [], 0, 0
         for row in frames():
-            if held and row[0] != held[0][0]:
-                made.append(close(held[0][0], held))
-                held = []
+            # Ids take about as many bytes as their text, so a range of about the right size is one file.
+            if held and (row[0] != held[0][0] or total >= 2 * file_bytes):
+                made.append(close(held[0][0], file, held))
+                file = file + 1 if row[0] == held[0][0] else 0
+                held, total = [], 0
             held.append(row)
+            total += row[2]
         if held:
-            made.append(close(held[0][0], held))
+            made.append(close(held[0][0], file, held))
         if made:
-            types = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], ["part", "path", "n_docs", "n_tokens"])
+            types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], ["part", "file", "path", "n_docs", "n_tokens"])
 
-    coded = rows.mapInArrow(encode, "part int, doc_id long, size long, checksum long, frame binary")
-    ordered = coded.repartition(min(parts, 20_000), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "checksum", "size")
-    manifest = ordered.mapInArrow(write, "part int, path string, n_docs long, n_tokens long")
+    coded = rows.mapInArrow(encode, "part int, doc_id long, x long, size long, checksum long, frame binary")
+    ordered = coded.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "x", "size", "checksum")
+    manifest = ordered.mapInArrow(write, "part int, file int, path string, n_docs long, n_tokens long")
     return materialise(manifest, "manifest")
 
 
@@ -239,17 +262,14 @@ def read_tokens(spark: SparkSession, out: str, manifest: DataFrame, doc_ids: lis
 
     start: ids of all documents before, by the files' tables of counts. Frames of other documents are not read.
     """
-    # One row a file, not a document: the running total of the files' ids.
-    offset, files = 0, []
-    for r in sorted(manifest.select("part", "path", "n_tokens").collect()):
-        files.append((r.path, offset))
-        offset += r.n_tokens
+    # The running total of the files' ids: over the ranges, of which there are few, and then inside each.
+    files = running_total(manifest.withColumn("all", F.lit(0)), "all", "part", ["file"], F.col("n_tokens"), "before")
     wanted = None if doc_ids is None else np.array(sorted(doc_ids), np.int64)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(out)
         for batch in batches:
-            for path, before in zip(*(batch.column(i).to_pylist() for i in range(2))):
+            for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
                 name = f"{root}/{path}"
                 with store.open_input_file(name) as f:
                     t = TokenFile(f, f.size())
@@ -264,10 +284,8 @@ def read_tokens(spark: SparkSession, out: str, manifest: DataFrame, doc_ids: lis
                 )
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not files:
-        return spark.createDataFrame([], schema)
-    listed = spark.createDataFrame(files, "path string, before long")
-    return listed.repartition(min(len(files), 20_000)).mapInArrow(read, schema)
+    n = manifest.count()
+    return files.select("path", F.col("before").cast("long")).repartition(max(1, min(n, MOST_RANGES)), "path").mapInArrow(read, schema)
 
 
 def encode_and_read_back(docs: DataFrame, tokenizer_file: str, out: str | None = None) -> DataFrame:
