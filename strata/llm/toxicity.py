@@ -29,6 +29,8 @@ MAX_MODEL_ROWS, MAX_CURVE_ROWS = 20_000, 10_000
 DISCOUNT = 8.0
 #: Of corpus_contexts: most words that are told apart, and pairs of words that a task gathers before it sends them.
 WORDS, HOLD_PAIRS = 1 << 22, 1 << 22
+#: Text bytes whose pairs are counted in one group, about; there are 1024 groups at least.
+GROUP_BYTES = 64 << 20
 #: Characters of a word that share their counts with other words; the next ones are a word again.
 PIECE = 6
 MOST = 3
@@ -187,17 +189,25 @@ def _groups(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _packed(keys: np.ndarray) -> pa.RecordBatch:
-    """Rows (part, keys) of different sorted keys of pairs: 10 bits of part, 22 of word, 32 of hash.
+def _distinct(held: list[np.ndarray]) -> np.ndarray:
+    """The different keys in ``held``, sorted; the list is emptied, so that they are in memory once."""
+    keys = np.concatenate(held)
+    held.clear()
+    keys.sort()
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
+def _packed(keys: np.ndarray, more: int) -> pa.RecordBatch:
+    """Rows (part, keys) of different sorted keys of pairs: 10 + ``more`` bits of part, 22 of word, 32 - ``more`` of hash.
 
     Words are sent as differences, byte by byte of their places: nearly all are 0 and vanish in compression.
     """
-    part = (keys >> np.uint64(54)).astype(np.int32)
+    part = (keys >> np.uint64(54 - more)).astype(np.int32)
     head = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    word = (keys >> np.uint64(32)).astype(np.uint32) & np.uint32(WORDS - 1)
+    word = (keys >> np.uint64(32 - more)).astype(np.uint32) & np.uint32(WORDS - 1)
     step = np.diff(word, prepend=np.uint32(0))
     step[head] = word[head]
-    step, low = step.view(np.uint8).reshape(-1, 4), keys.astype(np.uint32)
+    step, low = step.view(np.uint8).reshape(-1, 4), (keys & np.uint64((1 << (32 - more)) - 1)).astype(np.uint32)
     rows = [step[a:b].T.tobytes() + low[a:b].tobytes() for a, b in zip(head.tolist(), [*head[1:].tolist(), len(keys)])]
     return pa.RecordBatch.from_arrays([pa.array(part[head]), pa.array(rows, pa.binary())], ["part", "keys"])
 
@@ -213,11 +223,19 @@ def corpus_contexts(texts: DataFrame, words: np.ndarray) -> tuple[np.ndarray, in
 
     The start of a text is a word like any other. Different pairs of words are told apart by 42 bits of hash for each of
     ``words``, and for each of 1024 classes of the other ones. They are dealt by hash, so a common word is counted in
-    many tasks.
+    many tasks, to groups whose number follows the corpus, so that none outgrows a task.
     """
     if len(words) + 1024 > WORDS:
         raise ValueError(f"{len(words)} words of labelled texts")
     known = texts.sparkSession.sparkContext.broadcast(words)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    more = min(20, max(0, (size // (GROUP_BYTES << 10)).bit_length()))
+
+    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys = _distinct(held)
+        cuts = np.searchsorted(keys >> np.uint64(54), np.arange(0, 1025, 128))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield _packed(keys[lo:hi], more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -231,13 +249,15 @@ def corpus_contexts(texts: DataFrame, words: np.ndarray) -> tuple[np.ndarray, in
             with np.errstate(over="ignore"):
                 at = np.where(found, at, len(known.value) + ((word * _MIX) >> np.uint64(54)).astype(np.int64)).astype(np.uint64)
             h = _pair(before, word)
-            held.append(np.unique(h >> np.uint64(54) << np.uint64(54) | at << np.uint64(32) | h >> np.uint64(22) & np.uint64(0xFFFFFFFF)))
+            part, low = np.uint64(54 - more), np.uint64((1 << (32 - more)) - 1)
+            held.append(np.unique(h >> part << part | at << np.uint64(32 - more) | h >> np.uint64(22) & low))
             total += len(held[-1])
+            del word, before, found, at, h
             if total >= HOLD_PAIRS:
-                yield _packed(np.unique(np.concatenate(held)))
-                held, total = [], 0
+                yield from send(held)
+                total = 0
         if total:
-            yield _packed(np.unique(np.concatenate(held)))
+            yield from send(held)
 
     def count(table: pa.Table) -> pa.Table:
         keys = np.unique(np.concatenate([_unpacked(x.as_buffer()) for x in table.column("keys")]))

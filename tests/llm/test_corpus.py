@@ -54,6 +54,30 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     assert tokens.encode_and_read_back(docs.limit(0), path).collect() == []
 
 
+def test_ids_equal_the_tokenizer_s():
+    """Odd blanks, control characters, added tokens, several scripts, and long texts."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, rng = Tokenizer.from_file(path), np.random.default_rng(11)
+    parts = ["a", "The", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\0", "é", "今日", "привет", "'s", ".", ",", "!?", "12", "<|endoftext|>", "\u200d", "🙂", "word", "\x1f"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 25))) for _ in range(3000)] + ["word, and more. " * 20_000, "x" * 50_000]
+    got = tokens.Encoder(path).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rows_without_ids_fill_many_files(spark, tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    df = spark.createDataFrame([(None, f"text number {i} " * 40) for i in range(60)] + [(7, "the same " * 60)] * 20, "doc_id long, text string")
+    out = f"file://{tmp_path}/tok"
+    manifest = tokens.write_tokens(df, out, public_tokenizers.path("byte_bpe_50k.json"), file_bytes=4000)
+    assert manifest.count() > 8
+    got = sorted(tokens.read_tokens(spark, out, manifest).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == np.r_[0, np.cumsum([r.n_tokens for r in got])][:-1].tolist()
+    assert [r.doc_id for r in got] == [None] * 60 + [7] * 20
+
+
 def test_damaged_frames_are_noticed():
     body = b"".join(tokens.pack([(7, __import__("zstandard").compress(b"\1\0\0\0"), 4, 12345)]))
     with pytest.raises(ValueError):
@@ -88,16 +112,23 @@ def in_duckdb(sql, **tables):
     return got.columns, [tuple(None if v != v else v for v in r) for r in got.fetchall()]
 
 
-def test_decontamination(spark, docs):
+def test_decontamination(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(1, " ".join(f"w{j % 5}" for j in range(20))), (2, "CAFÉ ok"), (3, "no id"), (4, ""), (5, None), (6, "Hello, world! Hello")], "item_id long, text string")
     named = docs.where("doc_id is not null and doc_id <> 2")
     columns, want = in_duckdb(decontam.ORACLE_SQL, documents=named.select("doc_id", "text"), benchmark=bench)
+    monkeypatch.setattr(decontam, "PASS_BLOCKS", 2)
     for block in (8 << 20, 20):  # one block, and a block for nearly every item
         got = decontam.find_benchmark(named, bench, keep=["doc_id"], block_bytes=block).select(*columns).collect()
         assert sorted(map(tuple, got)) == sorted(want)
     clash = docs.withColumnRenamed("source", "n_hit")
     assert decontam.decontaminate(clash, bench).columns == ["doc_id", "text", "n_hit"]
     assert decontam.decontaminate(docs, bench.limit(0)).count() == len(ROWS)
+    twice = docs.selectExpr("*", "1 _spans", "2 _items", "3 __spans").where("doc_id is not null")
+    long = spark.createDataFrame([(99, "filler words here " * 40_000 + " ".join(f"w{j % 5}" for j in range(20)), "s", 1, 2, 3)], twice.schema)
+    got = {r.doc_id: r for r in decontam.find_benchmark(twice.unionByName(long), bench).collect()}
+    assert (got[99].n_words, got[99].n_hit, got[99]._spans, got[99].contaminated) == (120_020, 20, 1, False)
+    assert decontam.decontaminate(twice, bench).columns == twice.columns
+    assert decontam.find_benchmark(docs.limit(0), bench).collect() == []
 
 
 def test_mixing(docs):
@@ -135,7 +166,7 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc > 0.9 and sum(s >= 0.5 for s in clean) < 0.02 * len(clean)
 
 
-def test_toxicity_counts_have_no_ceiling(spark):
+def test_toxicity_counts_have_no_ceiling(spark, monkeypatch):
     texts = [f"a{i} b{i % 400} same pair a{i}" for i in range(700)] * 2 + ["same pair"]
     df = spark.createDataFrame([(1, t) for t in texts], "y int, text string").repartition(3)
     word = lambda w: int(toxicity._hashes(pa.array([w]))[0].view(np.int64)[0])
@@ -145,6 +176,8 @@ def test_toxicity_counts_have_no_ceiling(spark):
     assert [contexts[word(w)] for w in ("same", "pair", "a7", "b7")] == [401, 1, 2, 2]
     assert everything == len({p for t in texts for p in zip(["", *t.split()], t.split())})
     assert toxicity.corpus_contexts(df, some[:0])[1] == everything
+    monkeypatch.setattr(toxicity, "GROUP_BYTES", 2)  # many more groups
+    assert [x.tolist() if isinstance(x, np.ndarray) else x for x in toxicity.corpus_contexts(df, some)] == [list(contexts.values()), everything]
     words, pairs = toxicity.class_counts(df)
     assert {r.w: r.c for r in words.collect()}[word("same")] == 401
     assert [r.k for r in pairs.where(f"b = {word('same')} and w = {word('pair')}").collect()] == [401]
