@@ -8,7 +8,8 @@ are verified by banded bit-parallel edit distance, many pairs at once.
 1. One scan hashes all segments and substrings and keeps, for each hash, whether different lines meet there.
 2. A second scan lets through what meets: those lines, once each, and their hashes.
 3. Meeting lines are joined by hash. A hash under which more than ``TILE`` lines meet is dealt to pairs of chunks; what
-   leaves a task are links, not candidates.
+   leaves a task is a spanning forest of its links and how many links each line has, never all pairs. Two lines that
+   meet under several hashes are counted under the least of them.
 4. Linked lines are classes; the first line of a class stays.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from strata.llm import textops
 from strata.llm.components import components
 from strata.llm.repeats import _digests
+from strata.llm.simhash import union
 from strata.llm.sketch import Bloom
 from strata.llm.storage import materialise
 
@@ -203,6 +205,31 @@ def within(data: np.ndarray, a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: n
     return out
 
 
+def least_shared_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, edits: int) -> np.ndarray:
+    """For pairs of lines (x not longer than y): the least key that one files and the other has, of equal length either way."""
+    named, at = np.unique(np.r_[x, y], return_inverse=True)
+    a, b = at[: len(x)], at[len(x) :]
+    size = size[named]
+    begin = np.cumsum(size) - size
+    whole = data[np.repeat(start[named] - begin, size) + np.arange(size.sum())]  # these lines alone, next to each other
+    line, key, filed = line_keys(whole, begin, size, edits)
+    code = lambda n, k: (k ^ (n.astype(np.uint64) + np.uint64(1)) * _MIX) * _MIX
+    out = np.full(len(x), np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        held = np.sort(code(line, key))
+        order = np.flatnonzero(filed)[np.argsort(line[filed], kind="stable")]
+        line, key = line[order], key[order]
+        for p, q, which in ((a, b, np.arange(len(a))), (b, a, np.flatnonzero(size[a] == size[b]))):
+            p, q = p[which], q[which]
+            first, n = np.searchsorted(line, p), np.searchsorted(line, p, "right") - np.searchsorted(line, p)
+            pair = np.repeat(np.arange(len(p)), n)
+            k = key[first[pair] + np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)]
+            wanted = code(q[pair], k)
+            there = held[np.minimum(np.searchsorted(held, wanted), len(held) - 1)] == wanted
+            np.minimum.at(out, which[pair[there]], k[there])
+    return out
+
+
 # ------------------------------------------------------------------------------------------------- the join
 
 
@@ -245,7 +272,8 @@ def meeting_keys(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def line_links(rows: DataFrame, texts: DataFrame, edits: int = EDITS, tile: int = TILE) -> DataFrame:
-    """(a, b): all pairs of different lines (a < b by digest) within the limit, from (key, d, filed) and (d, text)."""
+    """(a, b, n) from (key, d, filed) and (d, text): links that connect all lines within the limit of each other, directly
+    or through others (n is null), and, where b is null, n links of line a: their sum is its degree."""
     large = rows.groupBy("key").count().where(F.col("count") > tile)
     large = large.select("key", F.ceil(F.col("count") / tile).cast("int").alias("m"))
     dealt = rows.join(large, "key", "left").withColumn("m", F.coalesce("m", F.lit(1)))
@@ -265,15 +293,21 @@ def line_links(rows: DataFrame, texts: DataFrame, edits: int = EDITS, tile: int
         size = np.diff(offsets)
         group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         bounds = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(group)]
-        left, right = [], []
+        left, right, held_pairs = [], [], 0
+        names, one, name = np.unique(d, return_index=True, return_inverse=True)
+        label, degree = np.arange(len(names)), np.zeros(len(names), np.int64)
 
-        def flush() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def flush() -> None:
+            nonlocal label
             x, y = np.concatenate(left), np.concatenate(right)
             left.clear(), right.clear()
             near = within(data, offsets[x], size[x], offsets[y], size[y], limit(size[y], edits))
-            yield np.minimum(d[x[near]], d[y[near]]), np.maximum(d[x[near]], d[y[near]])
+            x, y = x[near], y[near]
+            if len(x):
+                label = union(label, name[x], name[y])
+                once = key[x].view(np.uint64) == least_shared_keys(data, offsets[:-1], size, one[name[x]], one[name[y]], edits)
+                np.add.at(degree, name[np.r_[x[once], y[once]]], 1)
 
-        found, held_pairs = [], 0
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             at = np.arange(lo, hi)
             for x in at[filed[lo:hi]].tolist():  # a filed line against all that probe: those of the other chunk, or of both
@@ -285,13 +319,15 @@ def line_links(rows: DataFrame, texts: DataFrame, edits: int = EDITS, tile: int
                     right.append(y)
                     held_pairs += len(y)
                 if held_pairs > 200_000:
-                    found += flush()
+                    flush()
                     held_pairs = 0
         if left:
-            found += flush()
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        pairs = np.unique(np.stack([a, b], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"]), rest
+            flush()
+        far, linked = np.flatnonzero(label != np.arange(len(names))), np.flatnonzero(degree)
+        a = np.r_[names[far], names[linked]]
+        b = pa.array(np.r_[names[label[far]], names[linked]], mask=np.arange(len(a)) >= len(far))
+        n = pa.array(np.r_[np.zeros(len(far), np.int64), degree[linked]], mask=np.arange(len(a)) < len(far))
+        return pa.RecordBatch.from_arrays([pa.array(a), b, n], ["a", "b", "n"]), rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -314,7 +350,7 @@ def line_links(rows: DataFrame, texts: DataFrame, edits: int = EDITS, tile: int
             n = sum(b.num_rows for b in held)
             yield link(held, n)[0]
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, n long")
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, tile: int = TILE) -> DataFrame:
@@ -361,9 +397,8 @@ def line_classes(docs: DataFrame, edits: int = EDITS, tile: int = TILE) -> DataF
     texts = seen.where("text is not null").join(wanted, "d", "left_semi").groupBy("d").agg(F.first("text").alias("text"))
     links = materialise(line_links(rows, texts, edits, tile), "links")
 
-    both = links.select("a").unionByName(links.select(F.col("b").alias("a")))
-    degree = both.groupBy(F.col("a").alias("d")).agg(F.count(F.lit(1)).alias("n_links"))
-    rooted = components(links).select(F.col("node").alias("d"), "root")
+    degree = links.where("n is not null").groupBy(F.col("a").alias("d")).agg(F.sum("n").alias("n_links"))
+    rooted = components(links.where("n is null").select("a", "b")).select(F.col("node").alias("d"), "root")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "line_no")
     first = lines.groupBy("d").agg(F.min(place).alias("first"))
     named = first.join(degree, "d", "left").join(rooted, "d", "left").withColumn("root", F.coalesce("root", "d"))

@@ -156,6 +156,21 @@ def test_near_equal_lines(spark, tile):
     assert sorted(map(tuple, got.collect()), key=str) == line_classes(rows)
 
 
+def test_many_forms_of_a_line(spark):
+    """A template with a counter: the links are counted, and a forest of them leaves the tasks."""
+    rows = [(i, f"page {i:04d} of the collected works of nobody in particular\n" + "x" * 20_000) for i in range(700)]
+    kinds, degree = [t.split("\n")[0] for _, t in rows], Counter()
+    for i, a in enumerate(kinds):
+        for b in kinds[i + 1 :]:
+            if sum(x != y for x, y in zip(a[5:9], b[5:9])) <= 2 or distance(a[5:9], b[5:9]) <= 2:
+                degree[a] += 1
+                degree[b] += 1
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, key int")
+    got = lines.line_classes(df, 2, 100).where("line_no = 0").collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: degree[k] for (i, _), k in zip(rows, kinds)}
+    assert {(r.class_doc_id, r.class_line_no) for r in got} == {(0, 0)} and [r.doc_id for r in got if r.kept] == [0]
+
+
 def fingerprint(text):
     found = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").split(" ") if w]
     shingles = [" ".join(found[i : i + 3]) for i in range(len(found) - 2)] or ([" ".join(found)] if found else [])
