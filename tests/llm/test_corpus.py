@@ -223,6 +223,54 @@ def test_toxicity_keeps_rows_without_labels_of_both_classes(spark, docs):
         assert toxicity.drop_toxic(docs, labels).count() == len(ROWS)
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All rows of run() on a small corpus: planted toxic words, near copies, a benchmark passage, nulls."""
+    from test_dedup import fingerprint
+
+    rng = np.random.default_rng(4)
+    some = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 400, n))
+    rows = [(i, some(40) + (" vile scum dirt vile scum" if i % 3 == 0 else "") + some(10), "en", "abc"[i % 3]) for i in range(240)]
+    passage = " ".join(f"q{i}" for i in range(15))
+    rows += [(1000 + i, rows[3 * i + 1][1], "en", "a") for i in range(5)] + [(2000 + i, some(20) + f" {passage} " + some(20), "en", "b") for i in range(4)]
+    rows += [(3000, None, "en", "a"), (3001, "", "en", None), (3002, some(30), "en", None)]
+    docs = spark.createDataFrame([(d, t, lang, s, len(t or "")) for d, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(d, 0, int(d % 3 == 0)) for d, *_ in rows[:240]]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = [r for r in rows if "scum" not in (r[1] or "")]
+    prints = [fingerprint(r[1]) for r in left]
+    group = list(range(len(left)))
+    for _ in left:
+        group = [min(group[j] for j in range(len(left)) if (prints[i] ^ prints[j]).bit_count() <= 3) for i in range(len(left))]
+    best = {}
+    for i, r in enumerate(left):
+        place = (r[0] is None, r[0] or 0)
+        if group[i] not in best or place < best[group[i]][0]:
+            best[group[i]] = (place, r)
+    left = [r for _, r in best.values() if passage not in (r[1] or "")]
+    frame = spark.createDataFrame([(d, t, s) for d, t, _, s in left], "doc_id long, text string, source string")
+    columns, mixed = in_duckdb(mixing.ORACLE_SQL, documents=frame)
+    d, size, taken = (columns.index(c) for c in ("doc_id", "size", "taken"))
+    want = {r[d]: -(-r[taken] // r[size]) for r in mixed if r[taken]}
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    counts = {}
+    for r in got:
+        assert r.shard == sharding.jump_hash(np.array([r.doc_id]), 40)[0]
+        counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
+    assert counts == want
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    empty = f"{tmp_path}/none"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"file://{empty}").collect() == []
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, before = docs.columns, docs
