@@ -42,12 +42,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", shard),
 ]
 
-#: A trained model, XXH64 and jump hashing are not SQL; tests hold every stage against brute force.
+#: A trained model, XXH64 and jump hashing are not SQL; a test holds the rows of all stages together against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``; each is written as Parquet in the shared folder and read by the next."""
+    """All stages in turn over ``documents``; each is written as Parquet in the shared folder and read by the next.
+
+    Null texts are empty: they are not toxic, near copies of each other, not contaminated, and the mix, which counts
+    words, does not take them. A null doc_id is judged by its text, comes last among near copies, and is sharded as -1.
+    Repeated rows are near copies. An empty table gives no rows; without labels of both classes nothing is toxic.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         path = scratch(spark, f"stage{i}")
