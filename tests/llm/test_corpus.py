@@ -1,7 +1,10 @@
 """Token files, toxicity, sharding, decontamination, mixing, URL rules and the pipeline."""
 
 import io
+import math
+import re
 import zlib
+from collections import defaultdict
 
 import duckdb
 import numpy as np
@@ -285,3 +288,93 @@ def test_pipeline(spark, sf_dir):
         before = spark.createDataFrame(out.collect(), out.schema)
     assert counts == sorted(counts, reverse=True) and counts[2] > 0.7 * docs.count()
     assert {"doc_id", "shard", "slot", "grown_shard"} <= set(before.columns)
+
+
+def plain_kneser_ney(docs, labels, discount):
+    """Evidence (three most telling words, all words) of every text by counting in dictionaries, and the rows of the curve."""
+
+    def tokens_of(text):
+        out = []
+        for run in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in text or "")):
+            for part in re.findall(r"[\x80-\xbfࠀ-\U0010ffff]|[^\x80-\xbfࠀ-\U0010ffff]+", run):
+                out += [(part[i : i + 6], i > 0) for i in range(0, len(part), 6)]
+        return out
+
+    words = {d: tokens_of(t) for d, t in docs}
+    fold = {d: zlib.crc32(str(d).encode()) % 5 for d, _ in docs}
+    around = {d: [(w, ws[i - 1] if i else None, ws[i - 2] if i > 1 else None) for i, w in enumerate(ws)] for d, ws in words.items()}
+    after = defaultdict(set)
+    for seen in around.values():
+        for w, b, _ in seen:
+            after[w].add(b)
+    everything = sum(map(len, after.values()))
+    single, double = [], []
+    for y in (0, 1):
+        contexts, texts = defaultdict(set), defaultdict(set)
+        for d in (d for d in words if labels.get(d) == y and fold[d] in (1, 2, 3)):
+            for w, b, two in around[d]:
+                for key, context in ((w, b), ((b, w), two)):
+                    contexts[len(key) == 2 and isinstance(key[1], tuple), key].add(context)
+                    texts[len(key) == 2 and isinstance(key[1], tuple), key].add(d)
+        count = {k: min(len(v), len(texts[k])) for k, v in contexts.items()}
+        single.append({k: n for (pair, k), n in count.items() if not pair})
+        double.append({k: n for (pair, k), n in count.items() if pair})
+
+    def likelihood(y, w, b):
+        n = sum(single[y].values())
+        p = max(single[y].get(w, 0) - discount, 0) / n
+        p += (1 - sum(max(c - discount, 0) for c in single[y].values()) / n) * len(after[w]) / everything
+        mine = heads[y].get(b)
+        if not mine:
+            return p
+        left = 1 - sum(max(c - discount, 0) for c in mine.values()) / sum(mine.values())
+        return max(mine.get(w, 0) - discount, 0) / sum(mine.values()) + left * p
+
+    heads = [defaultdict(dict), defaultdict(dict)]
+    for y in (0, 1):
+        for (b, w), n in double[y].items():
+            heads[y][b][w] = n
+    known, x = {}, {}
+    for d, seen in around.items():
+        ratios = []
+        for w, b, _ in seen:
+            if (w, b) not in known:
+                known[w, b] = math.log(likelihood(1, w, b)) - math.log(likelihood(0, w, b))
+            ratios.append(known[w, b])
+        best = sorted(ratios)[-3:]
+        x[d] = [sum(best) / len(best), sum(ratios) / len(ratios)] if ratios else [0.0, 0.0]
+    pairs_kept = sum(n > discount for y in (0, 1) for n in double[y].values())
+    return x, [d for d in words if fold[d] == 4 and labels.get(d) in (0, 1)], pairs_kept
+
+
+def test_toxicity_against_plain_kneser_ney(spark):
+    rng = np.random.default_rng(5)
+    common = [f"{a}{b}" for a in ("ka", "lo", "mi", "été", "при") for b in ("re", "sunder", "t", "vastly-un", "9")]
+    bad = ["grumblethorpe", "snark", "фубля", "恶言", "«vile»"]
+    docs, labels = [(0, None), (1, ""), (2, "..."), (3, "snark " * 500), (4, "never seen words here")], {3: 1}
+    for d in range(10, 500):
+        toxic = d % 4 == 0
+        text = [str(w) for w in rng.choice(common, rng.integers(1, 40), p=np.arange(25, 0, -1) / 325)]
+        for _ in range(3 * toxic):
+            at = int(rng.integers(0, len(text) + 1))
+            text[at:at] = ["you", str(rng.choice(bad))]
+        docs.append((d, " ".join(text).capitalize()))
+        if d % 9:
+            labels[d] = int(toxic) if d % 31 else 1 - int(toxic)
+    x, curve_rows, pairs_kept = plain_kneser_ney(docs, labels, toxicity.DISCOUNT)
+    assert pairs_kept > 10
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([*labels.items(), (4, None), (999, 1)], "doc_id long, toxic int")
+    model, curve = toxicity.fit(df, marks)
+    got = model.evidence(pa.array([t for _, t in docs]))
+    assert np.allclose(got, [x[d] for d, _ in docs], rtol=0, atol=1e-9)
+    # The curve is where the penalised likelihood of the rows that no model has seen is flat.
+    rows = np.array([[*x[d], 1.0] for d in curve_rows])
+    error = 1 / (1 + np.exp(-rows @ curve)) - np.array([labels[d] for d in curve_rows])
+    assert np.abs(rows.T @ error + 0.01 * (curve - [1, 1, 0])).max() < 1e-6
+    scored = {r.doc_id: r for r in toxicity.score_documents(df, marks).collect()}
+    assert len(scored) == len(docs)
+    for d, _ in docs:
+        want = 1 / (1 + math.exp(-float(np.array([*x[d], 1.0]) @ curve)))
+        assert scored[d].score == pytest.approx(want, abs=1e-6)
+        assert (scored[d].predicted, scored[d].held_out) == (int(scored[d].score >= 0.5), zlib.crc32(str(d).encode()) % 5 == 0)
