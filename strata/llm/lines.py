@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import textops
 from strata.llm.components import components
-from strata.llm.repeats import _digests
+from strata.llm.repeats import _wide_digests
 from strata.llm.simhash import union
 from strata.llm.sketch import Bloom
 from strata.llm.storage import materialise
@@ -237,10 +237,19 @@ def _batches(docs: DataFrame):
     return docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text")
 
 
+def _names(column: pa.Array) -> np.ndarray:
+    """Digests of 128 bits as byte strings that NumPy compares and sorts."""
+    return np.ascontiguousarray(textops.text_bytes(column)[0]).view("S16")
+
+
+def _column(names: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(names), [None, pa.py_buffer(names.tobytes())]).cast(pa.binary())
+
+
 def _distinct(column: pa.Array):
     """(data, start, size, digest) of the different lines of a batch."""
     data, _, _, start, size = split_lines(column)
-    digest = _digests(data, start, start + size)
+    digest = _names(_wide_digests(data, start, start + size))
     digest, first = np.unique(digest, return_index=True)
     return data, start[first], size[first], digest
 
@@ -248,14 +257,15 @@ def _distinct(column: pa.Array):
 def meeting_keys(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """(key): hashes under which a line is filed that another one probes.
 
-    Of all lines of a batch under one key, two digests stand for the rest: they tell whether there are different ones.
+    Of all lines of a batch under one key, two stand for the rest, by 63 bits of their digests: they tell whether there are
+    different ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textops.pieces(batches, "text"):
             data, start, size, digest = _distinct(batch.column("text"))
             line, key, filed = line_keys(data, start, size, edits)
-            mark = (digest[line] & ~np.uint64(1)) | filed
+            mark = (digest.view(np.uint64)[::2][line] & ~np.uint64(1)) | filed
             order = np.lexsort((mark, key))
             key, mark = key[order], mark[order]
             new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
@@ -287,14 +297,14 @@ def line_links(rows: DataFrame, texts: DataFrame, edits: int = EDITS, tile: int
         table = pa.Table.from_batches(held).combine_chunks()
         part, rest = table.slice(0, upto), table.slice(upto)
         batch = part.to_batches()[0]
-        key, i, j, d = (batch.column(c).to_numpy() for c in ("key", "i", "j", "d"))
+        key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
         first, filed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("first", "filed"))
         data, offsets = textops.text_bytes(batch.column("text"))
         size = np.diff(offsets)
         group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         bounds = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(group)]
         left, right, held_pairs = [], [], 0
-        names, one, name = np.unique(d, return_index=True, return_inverse=True)
+        names, one, name = np.unique(_names(batch.column("d")), return_index=True, return_inverse=True)
         label, degree = np.arange(len(names)), np.zeros(len(names), np.int64)
 
         def flush() -> None:
@@ -313,7 +323,7 @@ def line_links(rows: DataFrame, texts: DataFrame, edits: int = EDITS, tile: int
             for x in at[filed[lo:hi]].tolist():  # a filed line against all that probe: those of the other chunk, or of both
                 y = at if i[x] == j[x] else at[first[lo:hi] != first[x]]
                 more = size[y] - size[x]
-                y = y[(d[y] != d[x]) & (more >= 0) & (more <= limit(size[y], edits)) & ((more > 0) | (d[y] > d[x]) | ~filed[y])]
+                y = y[(name[y] != name[x]) & (more >= 0) & (more <= limit(size[y], edits)) & ((more > 0) | (name[y] > name[x]) | ~filed[y])]
                 if len(y):
                     left.append(np.full(len(y), x))
                     right.append(y)
@@ -324,10 +334,11 @@ def line_links(rows: DataFrame, texts: DataFrame, edits: int = EDITS, tile: int
         if left:
             flush()
         far, linked = np.flatnonzero(label != np.arange(len(names))), np.flatnonzero(degree)
-        a = np.r_[names[far], names[linked]]
-        b = pa.array(np.r_[names[label[far]], names[linked]], mask=np.arange(len(a)) >= len(far))
-        n = pa.array(np.r_[np.zeros(len(far), np.int64), degree[linked]], mask=np.arange(len(a)) < len(far))
-        return pa.RecordBatch.from_arrays([pa.array(a), b, n], ["a", "b", "n"]), rest
+        digests, counted = _column(names), np.arange(len(far) + len(linked)) >= len(far)
+        a = digests.take(pa.array(np.r_[far, linked]))
+        b = digests.take(pa.array(np.r_[label[far], linked], mask=counted))
+        n = pa.array(np.r_[np.zeros(len(far), np.int64), degree[linked]], mask=~counted)
+        return pa.RecordBatch.from_arrays([a, b, n], ["a", "b", "n"]), rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -350,7 +361,7 @@ def line_links(rows: DataFrame, texts: DataFrame, edits: int = EDITS, tile: int
             n = sum(b.num_rows for b in held)
             yield link(held, n)[0]
 
-    return dealt.mapInArrow(run, "a long, b long, n long")
+    return dealt.mapInArrow(run, "a binary, b binary, n long")
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, tile: int = TILE) -> DataFrame:
@@ -359,8 +370,8 @@ def line_classes(docs: DataFrame, edits: int = EDITS, tile: int = TILE) -> DataF
     Lines end at line feeds and are compared as UTF-8 bytes, unchanged. Two different lines are linked when their edit
     distance is at most ``edits`` and at most a FIFTH of the longer: lines below five bytes link with their like only,
     and long lines that differ in a whole word do not link. Equal lines and linked lines, directly or through others, are a class, named by its
-    first line (doc_id, then line_no; null doc_ids last), which is kept. n_links: different lines that the line is
-    linked to. line_no counts all lines of the text from 0. Null and empty texts have no lines; lines of rows that
+    first line (doc_id, then line_no; null doc_ids last), which is kept. Lines are equal when their digests of 128 bits
+    are. n_links: different lines that the line is linked to. line_no counts all lines of the text from 0. Null and empty texts have no lines; lines of rows that
     repeat a doc_id with equal text are kept or dropped together; an empty table gives no rows; columns other than
     doc_id and text are ignored.
     """
@@ -369,26 +380,26 @@ def line_classes(docs: DataFrame, edits: int = EDITS, tile: int = TILE) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "line_no", "n_bytes", "d", "key", "filed", "text"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.binary()]
 
         def rows(n: int, **cols) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in zip(names, types)], names)
 
         for batch in textops.pieces(batches, "text"):
             data, row, number, start, size = split_lines(batch.column("text"))
-            digest = _digests(data, start, start + size)
+            digest = _names(_wide_digests(data, start, start + size))
             ids = batch.column("doc_id").take(pa.array(row))
-            yield rows(len(row), doc_id=ids, line_no=number, n_bytes=size, d=digest.view(np.int64))
+            yield rows(len(row), doc_id=ids, line_no=number, n_bytes=size, d=_column(digest))
             digest, first = np.unique(digest, return_index=True)
             start, size = start[first], size[first]
             line, key, filed = line_keys(data, start, size, edits)
             at = np.flatnonzero(passes.value.has(key))
-            yield rows(len(at), d=digest[line[at]].view(np.int64), key=key[at].view(np.int64), filed=filed[at])
+            yield rows(len(at), d=_column(digest[line[at]]), key=key[at].view(np.int64), filed=filed[at])
             named, raw = np.unique(line[at]), data.tobytes()
             texts = [raw[a:b] for a, b in zip(start[named].tolist(), (start[named] + size[named]).tolist())]
-            yield rows(len(named), d=digest[named].view(np.int64), text=texts)
+            yield rows(len(named), d=_column(digest[named]), text=texts)
 
-    schema = "doc_id long, line_no long, n_bytes long, d long, key long, filed boolean, text binary"
+    schema = "doc_id long, line_no long, n_bytes long, d binary, key long, filed boolean, text binary"
     seen = materialise(_batches(docs).mapInArrow(run, schema), "lines")
     lines = seen.where("line_no is not null").select("doc_id", "line_no", "n_bytes", "d")
     rows = seen.where("key is not null").groupBy("key", "d").agg(F.max("filed").alias("filed")).join(meet, "key")
