@@ -71,7 +71,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int, block
     """(row, start, windows, key, twice, place) of every segment; start and place are places in ``data``.
 
     key: the anchors of the blocks, hashed together. twice: the first block's anchor stands at several places of the
-    segment, so that windows of one segment may be equal. place: where it stands.
+    segment, so that windows of one segment may be equal, and equal windows of two may have different places. place: one
+    place where it stands.
     """
     n, none = len(data), np.zeros(0, np.int64)
     if n < width:
@@ -110,8 +111,6 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int, block
     first[0] = True
     first[1:] = key[1:] != key[:-1]
     first[begin[filled]] = True
-    # The anchor of the window before stood at its start, yet this one has the same: it stands further on, too.
-    another = np.r_[0, 0, np.cumsum((x[: m - 1] >> bits == anchor[:-1]) & ~first[1:])]
     start = np.flatnonzero(first & inside)
     row = np.searchsorted(offsets, start, "right") - 1
     count = np.minimum(np.r_[start[1:], m], stop[row]) - start
@@ -122,7 +121,18 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int, block
     count = np.minimum(count[own] - k * LONGEST, LONGEST)
     last = start + count - 1
     place = last + ((least[last] & places).astype(np.int64) - last & int(places))
-    return row[own], start, count, key[start], another[start + count] > another[start + 1], place
+    # Of places whose hashes are equal the least one by ``bits`` was taken, which is not the same one in equal windows. So
+    # look for the anchor before and behind its place, in the first blocks of all windows of the segment.
+    twice = np.zeros(len(start), bool)
+    stop = last + blocks[0][1] - gram + 1
+    x >>= bits
+    for lo, hi in ((start, place), (place + 1, stop)):
+        some = np.flatnonzero(hi > lo)
+        if len(some):
+            inner = np.minimum.reduceat(x, np.stack([lo[some], np.minimum(hi[some], len(x) - 1)], 1).ravel())[::2]
+            inner = np.where(hi[some] == len(x), np.minimum(inner, x[-1]), inner)
+            twice[some] |= inner == anchor[last[some]]
+    return row[own], start, count, key[start], twice, place
 
 
 def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
