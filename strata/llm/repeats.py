@@ -218,10 +218,11 @@ def _scan(rows: DataFrame, width: int, gram: int, level: int) -> DataFrame:
             else:
                 view = memoryview(np.ascontiguousarray(data))
                 text = pa.array([hashlib.md5(view[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())
-            # A shared window holds its anchor and all bytes of one of these two sides of it.
-            whole = np.ones(len(start), bool) if not level else np.zeros(len(start), bool)
-            left = _beside(data, place - before, place, whole & (place - before >= start))
-            right = _beside(data, place, place + width - before, whole & (place + width - before <= end))
+            # A shared window holds its anchor and all bytes of one of these two sides of it. Copies of a segment have equal
+            # sides: those with two places for its anchor have none.
+            sided = ~twice if not level else np.zeros(len(start), bool)
+            left = _beside(data, place - before, place, sided & (place - before >= start))
+            right = _beside(data, place, place + width - before, sided & (place + width - before <= end))
             cols = [pa.array(key.view(np.int64)), _wide_digests(data, start, end), text.take(pa.array(row))]
             cols += [pa.array((start - offsets[row]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(twice), pa.array(left), pa.array(right)]
             yield pa.RecordBatch.from_arrays(cols, ["h", "d", "t", "s", "n", "z", "l", "r"])

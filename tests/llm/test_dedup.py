@@ -85,7 +85,7 @@ def test_repeated_strings_at_full_width(spark):
 
 
 def test_strings_whose_parts_repeat(spark):
-    """Passages in which a phrase stands twice, each in two texts at different places: the anchor is at either of its places."""
+    """Passages in which a phrase stands twice, in two texts and in copies of texts: the anchor is at either of its places."""
     rng, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
     some = lambda n: "".join(rng.choice(letters) for _ in range(n))
     for width, gram, phrase in ((24, 8, 10), (400, 16, 120)):
@@ -94,6 +94,7 @@ def test_strings_whose_parts_repeat(spark):
             part = some(phrase)
             passage = some(rng.randint(0, 2)) + part + some(rng.randint(0, phrase // 5)) + part + some(width - 2 * phrase)
             rows += [(2 * i + k, some(rng.randint(0, 2 * width)) + passage + some(rng.randint(0, width))) for k in (0, 1)]
+        rows += [(1000 + i, rows[5 * i][1]) for i in range(50)]
         got = repeats.drop_repeats(spark.createDataFrame(rows, SCHEMA), width, gram).collect()
         assert sorted([tuple(r)[:5] for r in got], key=str) == without_repeats(rows, width)
 
