@@ -8,7 +8,6 @@ A reader fetches the footer and the table, and then decompresses just the frames
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -33,19 +32,37 @@ END_ID = 2
 FILE_BYTES = 32 << 20
 #: Ranges of documents, at most, and rows that are sampled for the bounds of each: so many pairs reach the driver.
 MOST_RANGES, PER_RANGE = 20_000, 100
-#: Pieces of text whose ids a worker keeps.
-CACHE = 600_000
+#: Pieces of text whose ids a worker keeps, and characters of each, at most.
+CACHE, CACHED_LENGTH = 600_000, 64
+#: Bytes of text that are encoded at a time.
+BATCH_BYTES = 4 << 20
+
+
+def _pairs(*ranges: tuple[int, int]) -> np.ndarray:
+    """A truth table of pairs of bytes (the first one times 256), true in these inclusive ranges."""
+    out = np.zeros(1 << 16, bool)
+    for low, high in ranges:
+        out[low : high + 1] = True
+    return out
+
+
+#: Where a piece may begin: at blanks and line feeds, and at full stops and commas behind a letter.
+_BLANK, _POINT = textops.table_of((0x20, 0x20), (0x0A, 0x0A)), textops.table_of((0x2C, 0x2C), (0x2E, 0x2E))
+_MAY_BEGIN = _BLANK | _POINT
+#: By the last two bytes: may a text end with white space here (more pairs than there are), with a Latin letter (fewer)?
+_SPACE_BEFORE = _pairs((0xC285, 0xC285), (0xC2A0, 0xC2A0), (0x9A80, 0x9A80), (0x8080, 0x808A), (0x80A8, 0x80A9), (0x80AF, 0x80AF), (0x819F, 0x819F))
+_SPACE_BEFORE |= np.tile(textops.table_of((0x09, 0x0D), (0x1C, 0x20)), 256)
+_LETTER_BEFORE = _pairs((0xC380, 0xC396), (0xC398, 0xC3B6), (0xC3B8, 0xC3BF), *((x + 0x80, x + 0xBF) for x in range(0xC400, 0xC900, 256)))
+_LETTER_BEFORE |= np.tile(textops.table_of((0x41, 0x5A), (0x61, 0x7A)), 256)
 
 
 class Encoder:
-    """Byte-level BPE ids of whole texts, each piece of text between blanks encoded once.
+    """Byte-level BPE ids of whole texts, each different piece of text encoded once.
 
-    The pre-tokenizer never lets a piece run on from a non-blank over a single blank or line feed: the blank opens the
-    next piece, the line feed is a piece of its own. So a text may be cut there, and the ids of its parts joined. Texts
-    with any other white space, or blanks next to each other, go to the tokenizer whole.
+    No match of the pre-tokenizer runs on from a non-blank to a blank, or from a letter to a full stop or comma, and none
+    looks behind itself. So a text may be cut there, and the ids of its parts joined.
     """
 
-    _ODD = re.compile(r"[^\S \n]|[ \n](?!\S)|^\s|\0")
     _of: dict[str, Encoder] = {}
 
     def __init__(self, tokenizer_file: str):
@@ -80,33 +97,43 @@ class Encoder:
             out += [raw[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(raw)])]
         return out
 
-    def _look_up(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that are not in the cache. A last full stop or comma after a letter is a piece of its own."""
-        stem = {p: p[:-1] for p in pieces if p[-1] in ".," and len(p) > 1 and p[-2].isalpha() and p[-2] < "\u0250"}
-        plain = (pieces - stem.keys()) | {x for x in {*stem.values(), *(p[-1] for p in stem)} if x not in self.cache}
-        words = [p for p in plain if p[0] == " "]
-        rest = [p for p in plain if p[0] != " "]
-        new = dict(zip(words, self._words(words))) | dict(zip(rest, self._ids(rest)))
-        part = lambda x: new[x] if x in new else self.cache[x]
-        new |= {p: part(x) + part(p[-1]) for p, x in stem.items()}
-        if len(self.cache) < CACHE:
-            self.cache.update(new)
-        return new
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cache, out = self.cache, [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self._ODD.search(t)]
-        cut = {i: t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for i, t in enumerate(texts) if t}
-        for i in odd:
-            cut.pop(i, None)
-        new = self._look_up({p for parts in cut.values() for p in parts if p not in cache})
-        for i, parts in cut.items():
-            out[i] = b"".join([cache[p] if p in cache else new[p] for p in parts])
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd])):
-            out[i] = ids
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces."""
+        cache = self.cache
+        out = [cache.get(p) for p in pieces]
+        new = [i for i, x in enumerate(out) if x is None]
+        words = [i for i in new if (p := pieces[i])[0] == " " and p.rfind(" ") == 0 and not p[-1].isspace()]
+        rest = sorted(set(new).difference(words))
+        for some, ids in ((words, self._words([pieces[i] for i in words])), (rest, self._ids([pieces[i] for i in rest]))):
+            for i, x in zip(some, ids):
+                out[i] = x
+        for i in new:
+            if len(cache) >= CACHE:
+                break
+            if len(pieces[i]) <= CACHED_LENGTH:
+                cache[pieces[i]] = out[i]
         return out
 
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        data, offsets = textops.text_bytes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        if not len(data):
+            return [b""] * len(texts)
+        at = np.flatnonzero(_MAY_BEGIN[data])
+        before = data[at - 2].astype(np.uint16) << 8 | data[at - 1]  # ahead of a text's first bytes: other texts, no matter
+        at = at[np.where(_BLANK[data[at]], ~_SPACE_BEFORE[before], _LETTER_BEFORE[before])]
+        begins = np.zeros(len(data) + 1, bool)
+        begins[at] = True
+        begins[offsets] = True
+        begins[-1] = True
+        begin = np.flatnonzero(begins)
+        pieces = pa.LargeStringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin), pa.py_buffer(data)).dictionary_encode()
+        ids = pa.array(self._look_up(pieces.dictionary.to_pylist()), pa.large_binary()).take(pieces.indices)
+        _, ends, joined = ids.buffers()
+        ends = np.frombuffer(ends, np.int64)[ids.offset : ids.offset + len(ids) + 1][np.searchsorted(begin, offsets)].tolist()
+        view = memoryview(joined)
+        return [bytes(view[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+
 
 def pack(frames: Iterable[tuple[int | None, bytes, int, int]]) -> Iterator[bytes]:
     """The bytes of a file, in parts, for (doc_id, frame, decompressed size, checksum) in the order of the file."""
@@ -203,10 +230,10 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_file: str, end_id: int = E
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, press = Encoder.of(tokenizer_file), zstandard.ZstdCompressor(level=3, write_checksum=False)
         end = struct.pack("<I", end_id)
-        for batch in textops.pieces(batches, "text"):
+        for batch in textops.pieces(batches, "text", BATCH_BYTES):
             ids = batch.column("doc_id")
             part = part_of(pc.fill_null(ids, least).to_numpy(), batch.column("x").to_numpy())
-            raw = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
+            raw = [x + end for x in encoder.encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(part),

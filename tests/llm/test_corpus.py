@@ -70,6 +70,27 @@ def test_ids_equal_the_tokenizer_s():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pieces_are_encoded_once():
+    """Texts with any white space are cut, so that the tokenizer sees what is new in them and no more."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    class Counting:
+        seen = 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.seen += sum(map(len, texts))
+            return plain.encode_batch_fast(texts, **options)
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, encoder = Tokenizer.from_file(path), tokens.Encoder(path)
+    encoder.tokenizer = counting = Counting()
+    texts = [f"  word{i % 7},  and\t\tmore.\n\nEach\u00a0time. \n" * 50 for i in range(100)]
+    got = encoder.encode(texts) + encoder.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == 2 * [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counting.seen < 1000
+
+
 def test_rows_without_ids_fill_many_files(spark, tmp_path):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     df = spark.createDataFrame([(None, f"text number {i} " * 40) for i in range(60)] + [(7, "the same " * 60)] * 20, "doc_id long, text string")
