@@ -641,7 +641,7 @@ def images(r: Resource, layer: Layer, op: str, rows: DataFrame, condition: str |
     new = rows.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in given])
     if op == "update":
         before = written(old.join(rows.select(*keys), keys, "left_semi"), "before")
-        after = before.join(new, keys)
+        after = before.join(new.hint("merge"), keys)  # as many rows on both sides; file sizes would have Spark broadcast far more than it thinks
         return before, written(after.select(*[F.col(f"_new_{c}").alias(c) if c in given else F.col(c) for c in r.names]), "after")
     marked = old.join(rows.select(*keys), keys, "left_semi").withColumn("_old", F.lit(True))
     both = new.join(marked, keys, "left")

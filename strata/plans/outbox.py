@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
-from strata.sources.layers import Manifest, SnapshotLayer, upsert_in_order, written
+from strata.sources.layers import Manifest, SnapshotLayer, placed, upsert_in_order, written
 
 log = logging.getLogger("strata")
 
@@ -142,7 +142,8 @@ class Outbox:
     def _new_entries(self, op: str, before, after, tenant) -> DataFrame:
         done = (before if op == "destroy" else after).select(self._pk().alias("record_pk"), (F.lit(None).cast("string") if op == "destroy" else self._whole()).alias("payload"))
         if op in ("update", "destroy"):
-            done = done.join(before.select(self._pk().alias("record_pk"), self._whole().alias("base_image")), "record_pk")
+            base = before.select(self._pk().alias("record_pk"), self._whole().alias("base_image"))
+            done = done.join(base.hint("merge"), "record_pk")  # JSON is far larger than the files that Spark's estimate is made from
         else:
             done = done.withColumn("base_image", F.lit(None).cast("string"))
         done = done.withColumn("target", F.explode(F.array(*[F.lit(t) for t in self.o.targets])))
@@ -275,11 +276,12 @@ class Outbox:
             return self._failed(heads, e)
         return self._each(target, heads, heads.count(), forget)
 
-    def _each(self, target, heads: DataFrame, n: int, forget: bool) -> bool:
-        """Push a batch. If the target refuses it, its halves, so that a refused row parks itself alone.
+    def _each(self, target, heads: DataFrame, n: int, forget: bool, at: int = 0) -> bool:
+        """Push a batch of n. If the target refuses it, its halves, so that a refused row parks itself alone.
 
         Entries of a batch have different keys, so their order does not matter. k refused rows of n cost about
-        k * log2(n) batches; an error that is not about the data is one for the whole batch.
+        k * log2(n) batches; an error that is not about the data is one for the whole batch. Entries get their places
+        by seq once, when the whole batch is refused; ``at`` is the first place of a half, so no row is needed to cut it.
         """
         if not n:
             return False
@@ -288,9 +290,11 @@ class Outbox:
         except Exception as e:
             if n == 1 or classify(e) == TRANSIENT:
                 return self._failed(heads, e)
-            middle = heads.orderBy("seq").offset(n // 2).first().seq
-            below, above = heads.where(F.col("seq") < middle), heads.where(F.col("seq") >= middle)
-            return bool(sum([self._each(target, below, n // 2, forget), self._each(target, above, n - n // 2, forget)]))
+            if "_place" not in heads.columns:
+                heads = placed(heads, "_place", F.col("seq"), name="refused")
+            half = n // 2
+            below, above = heads.where(F.col("_place") < at + half), heads.where(F.col("_place") >= at + half)
+            return bool(sum([self._each(target, below, half, forget, at), self._each(target, above, n - half, forget, at + half)]))
         self.entries.delete(heads) if forget else self._mark(heads, SYNCED)
         return True
 

@@ -15,12 +15,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 READ, SELECT, UPSERT, TRANSACT, TENANTS, EXPRESSIONS = "read", "select", "upsert", "transact", "tenants", "expressions"
 MOST_DELTAS = 8
+#: Rows of a range that one task sorts.
+RANGE_ROWS = 250_000
 _own: dict[str, str] = {}
 
 
@@ -49,6 +51,27 @@ def written(df: DataFrame, name: str, one_for_each_key: bool = False) -> DataFra
     return out
 
 
+def placed(df: DataFrame, column: str, *by: Column, name: str = "placed") -> DataFrame:
+    """``df`` with the place of each row in this order, from 0 on without gaps.
+
+    Ranges of about RANGE_ROWS rows are sorted in a task each and written; bounds come from a sample of at most 300 keys for
+    a range, and a count of each range is all else that the driver sees. Rows that are equal in ``by`` may lie in several ranges.
+    """
+    ranges = -(-df.count() // RANGE_ROWS) or 1
+    by = (*by, F.col("_tie"))
+    cut = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(ranges, *by).sortWithinPartitions(*by).drop("_tie")
+    cut = written(cut.withColumn("_at", F.monotonically_increasing_id()), name)  # the range, and 33 bits for the place in it
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = {r["_range"]: r["n"] for r in cut.groupBy(part.alias("_range")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    begins, at = [], 0
+    for k in sorted(sizes):
+        begins.append((k, at))
+        at += sizes[k]
+    begin = df.sparkSession.createDataFrame(begins, "_range int, _begin long")
+    rows = cut.withColumn("_range", part).join(F.broadcast(begin), "_range")
+    return rows.select(*df.columns, (F.col("_begin") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(column))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
