@@ -20,7 +20,7 @@ from strata.operators.aggregates import Aggregate, Relationship
 from strata.operators.query import Calculation, Query
 from strata.plans.outbox import CONFLICT, PARKED, Outbox, Rejected
 from strata.plans.resource import OUTBOX, OutboxOptions, Resource
-from strata.sources.layers import CountingLayer, ParquetLayer, SnapshotLayer
+from strata.sources.layers import CountingLayer, ParquetLayer, SnapshotLayer, placed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -600,11 +600,9 @@ def ledger_lru(spark, sf_dir):
 
 @query("select l_linestatus, l_returnflag, l_shipdate, l_id from (select row_number() over (order by l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as l_id, * from lineitem) where l_quantity > 49 and l_discount = 0.05")
 def read_hit_lineitem(spark, sf_dir):
-    from pyspark.sql import Window
-
     df = table(spark, sf_dir, "lineitem")
-    # A total order over equal-looking rows, for the test tables alone.
-    df = df.withColumn("l_id", F.row_number().over(Window.orderBy(*df.columns)).cast("long"))
+    # A total order over equal-looking rows, for the test tables alone; nulls come last, as in the SQL.
+    df = placed(df, "_place", *[F.col(c).asc_nulls_last() for c in df.columns], name="lineitem").select("*", (F.col("_place") + 1).alias("l_id")).drop("_place")
     r = cached(spark, "lineitem", df, ("l_id",))
     e = Engine(spark, r)
     e.read(Query("lineitem", attr("l_quantity") > 40.0))
