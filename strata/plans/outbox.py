@@ -291,7 +291,7 @@ class Outbox:
             if n == 1 or classify(e) == TRANSIENT:
                 return self._failed(heads, e)
             if "_place" not in heads.columns:
-                heads = placed(heads, "_place", F.col("seq"), name="refused")
+                heads = written(placed(heads, "_place", F.col("seq")), "refused")  # stored and sorted, so a half reads its own files only
             half = n // 2
             below, above = heads.where(F.col("_place") < at + half), heads.where(F.col("_place") >= at + half)
             return bool(sum([self._each(target, below, half, forget, at), self._each(target, above, n - half, forget, at + half)]))
